@@ -9,6 +9,7 @@ from ..functions import contacts as C
 from ..functions import html as H
 from ..functions import site as T
 from ..functions import urls as U
+from .arrays import unnest, unnest_with_position
 from .ordered import first_per_key, top_per_key
 
 HTML_TYPES = "(?i)text/html|application/xhtml"
@@ -104,7 +105,7 @@ def email_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
         _ranked("text", C.find_emails(F.col("text")), 3, conf["text"]),
         _ranked("repaired", C.find_emails(C.deobfuscate(F.col("text"))), 4, conf["repaired"]),
     ).alias("finds"))
-    rows = finds.select(key, F.explode("finds").alias("f")).select(key, F.col("f.value").alias("address"), "f.source", "f.confidence", "f.rank", "f.pos")
+    rows = unnest(finds, [key], F.col("finds"), "f").select(key, F.col("f.value").alias("address"), "f.source", "f.confidence", "f.rank", "f.pos")
     best = first_per_key(rows, [key, "address"], [F.col("rank"), F.col("pos")])
     return best.select(key, "address", C.email_kind(F.col("address")).alias("kind"), "source", "confidence")
 
@@ -123,7 +124,7 @@ def phone_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
         _ranked("jsonld", H.ld_strings(html, "telephone|phone"), 2, conf["jsonld"]),
         _ranked("text", F.regexp_extract_all(H.body_text(html), F.lit(dims.PHONE_PATTERN), 0), 3, conf["text"]),
     ).alias("finds"))
-    rows = finds.select(key, "country_code", F.explode("finds").alias("f")).withColumn("raw", C.tidy_phone(F.col("f.value")))
+    rows = unnest(finds, [key, "country_code"], F.col("finds"), "f").withColumn("raw", C.tidy_phone(F.col("f.value")))
     rows = rows.filter(C.enough_digits(F.col("raw"))).withColumn("p", C.normalize_phone(F.col("raw"), F.col("country_code")))
     rows = rows.select(key, F.coalesce("p.e164", "raw").alias("phone_key"), "raw", "p.e164", "p.is_mobile",
                        (F.col("f.source") == "whatsapp").alias("is_whatsapp"), "f.source", "f.confidence", "p.reject_reason", "f.rank", "f.pos")
@@ -138,7 +139,7 @@ def social_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
     # a cheap host test keeps the many ordinary links out of the URL work
     hosts = [*dims.SOCIAL_HOSTS, *dims.LINK_HUB_HOSTS]
     maybe = "(?i)" + "|".join(h.replace(".", r"\.") for h in hosts)
-    finds = pages.select(key, F.explode(F.filter(candidates, lambda c: c["value"].rlike(maybe))).alias("f")).select(key, "f.value", "f.rank", "f.pos")
+    finds = unnest(pages, [key], F.filter(candidates, lambda c: c["value"].rlike(maybe)), "f").select(key, "f.value", "f.rank", "f.pos")
     rows = U.url_identity(finds, "value").filter("n_url IS NOT NULL AND (n_is_social OR n_is_hub) AND NOT n_share")
     rows = rows.withColumn("platform", F.when(F.col("n_is_hub"), "linkinbio").otherwise(F.col("n_platform")))
     rows = rows.withColumn("account", F.coalesce("n_handle", F.lower("n_url")))
@@ -156,7 +157,7 @@ def jsonld_values(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     named = [F.transform(H.ld_strings(html, k), labelled(k)) for k in ("email", "telephone", "phone")]
     same = F.transform(H.ld_same_as(html), labelled("sameAs"))
-    rows = pages.filter(html.contains("ld+json")).select(key, F.explode(F.concat(*named, same)).alias("v"))
+    rows = unnest(pages.filter(html.contains("ld+json")), [key], F.concat(*named, same), "v")
     return rows.select(key, "v.key", "v.value")
 
 
@@ -164,7 +165,7 @@ def jsonld_values(pages: DataFrame, key: str = "page_id") -> DataFrame:
 def contact_link_rank(pages: DataFrame, n: int = 3, key: str = "page_id") -> DataFrame:
     """(page, href, score): same-origin links that look like contact pages, the n best per page."""
     words = "(?i)" + dims.CONTACT_WORDS
-    rows = U.url_parts(pages.select(key, "url", F.posexplode(H.anchors(F.col("html"))).alias("pos", "a")), "url", "b_")
+    rows = U.url_parts(unnest_with_position(pages, [key, "url"], H.anchors(F.col("html")), "pos", "a"), "url", "b_")
     raw = F.col("a.href")
     origin = F.concat(F.col("b_scheme"), F.lit("://"), F.col("b_host"), F.col("b_port"))
     absolute = (

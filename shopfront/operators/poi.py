@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import contacts as C
 from ..functions import urls as U
+from .arrays import unnest, unnest_with_position
 from .ordered import first_per_key, insert_new
 
 ELEMENT = ("struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,"
@@ -38,8 +39,9 @@ def triage(df: DataFrame) -> DataFrame:
 def elements(df: DataFrame) -> DataFrame:
     """One row per element of the response documents in `body`, with the data date."""
     doc = F.from_json("body", f"elements array<{ELEMENT}>, osm3s map<string,string>")
-    rows = df.select(doc.alias("d")).select(
-        F.explode("d.elements").alias("e"), F.try_element_at("d.osm3s", F.lit("timestamp_osm_base")).alias("osm_base"))
+    parsed = df.select(doc.alias("d"))
+    osm_base = F.try_element_at("d.osm3s", F.lit("timestamp_osm_base")).alias("osm_base")
+    rows = unnest(parsed, [osm_base], F.col("d.elements"), "e")
     return rows.select("e.*", "osm_base").withColumn("tags", F.coalesce("tags", F.create_map().cast("map<string,string>")))
 
 
@@ -56,7 +58,7 @@ def first_tag(keys: list[str]) -> Column:
 
 
 def multi_value(col: Column) -> Column:
-    parts = F.filter(F.transform(F.split(col, ";"), F.trim), lambda v: v != "")
+    parts = F.filter(F.transform(F.split(col, ";"), lambda v: F.trim(v)), lambda v: v != "")
     return F.coalesce(parts, F.array().cast("array<string>"))
 
 
@@ -102,7 +104,7 @@ def social_values() -> Column:
 
 def socials(pois: DataFrame) -> DataFrame:
     """(osm_key, platform, url, handle) of every social tag value that is a web address."""
-    rows = pois.select(osm_key().alias("osm_key"), F.explode(social_values()).alias("s"))
+    rows = unnest(pois, [osm_key().alias("osm_key")], social_values(), "s")
     rows = U.url_identity(rows.select("osm_key", "s.platform", "s.raw"), "raw")
     return rows.filter(F.col("n_url").isNotNull()).select(
         "osm_key", "platform", F.col("n_url").alias("url"), F.col("n_handle").alias("handle"))
@@ -222,7 +224,7 @@ def upsert(old: DataFrame, new: DataFrame, now: str) -> DataFrame:
 
 def poi_phones(pois: DataFrame) -> DataFrame:
     """(osm_key, ord, raw, e164, is_mobile, confidence, reject_reason) of the phone tags."""
-    rows = pois.select("osm_key", "country_code", F.posexplode("phones").alias("ord", "raw"))
+    rows = unnest_with_position(pois, ["osm_key", "country_code"], F.col("phones"), "ord", "raw")
     rows = rows.withColumn("p", C.normalize_phone(F.col("raw"), F.col("country_code")))
     return rows.select("osm_key", "ord", "raw", "p.e164", "p.is_mobile",
                        F.when(F.col("p.e164").isNotNull(), 70).otherwise(50).cast("bigint").alias("confidence"), "p.reject_reason")
@@ -235,7 +237,7 @@ def insert_phones(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def poi_emails(pois: DataFrame) -> DataFrame:
-    rows = pois.select("osm_key", F.posexplode("emails").alias("ord", "raw"))
+    rows = unnest_with_position(pois, ["osm_key"], F.col("emails"), "ord", "raw")
     return rows.select("osm_key", "ord", F.lower("raw").alias("address"), F.lower(F.get(F.split("raw", "@"), F.lit(1))).alias("domain"),
                        F.lit("role").alias("kind"), F.lit(60).cast("bigint").alias("confidence"))
 

@@ -39,8 +39,8 @@ def adaptive_tiles(points: DataFrame, bbox: tuple[float, float, float, float], c
 def coverage_check(responses: DataFrame) -> DataFrame:
     """Sources that answered a tile with nothing where another source found something."""
     answered = responses.filter("ok")
-    per = answered.groupBy("tile", "source").agg(F.max("n_elements").alias("most"), F.count_if("n_elements = 0").alias("n_empty"))
-    richest = per.groupBy("tile").agg(F.count_if("most > 0").alias("sources"), F.max("most").alias("tile_most"))
+    per = answered.groupBy("tile", "source").agg(F.max("n_elements").alias("most"), F.count_if(F.col("n_elements") == 0).alias("n_empty"))
+    richest = per.groupBy("tile").agg(F.count_if(F.col("most") > 0).alias("sources"), F.max("most").alias("tile_most"))
     df = per.join(richest, "tile").withColumn("others", F.col("sources") - F.when(F.col("most") > 0, 1).otherwise(0))
     return df.filter("n_empty > 0 AND others > 0").groupBy("source").agg(
         F.count("*").alias("tiles"), F.sum("n_empty").alias("n_empty"))

@@ -398,6 +398,8 @@ def duck(sql: str) -> str:
         else:
             body = DERIVED[name]
         parts.append(f"{name} AS MATERIALIZED ({body})")
+    if sql.lstrip().startswith("WITH"):
+        sql = f"SELECT * FROM ({sql})"
     return (f"WITH {', '.join(parts)} " if parts else "") + sql
 
 

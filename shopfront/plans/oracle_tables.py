@@ -243,3 +243,4 @@ HREFS = rf"""list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*?\bhref\s*=\
 DERIVED["or_page_text"] = f"SELECT page_id, url, {entities(BODY_TEXT)} AS body_text, {HREFS} AS hrefs FROM fx_page"
 _ld = r"regexp_extract_all(html, '(?is)<script\b[^>]*\btype\s*=\s*[\"'']application/ld\+json[\"''][^>]*>(.*?)</script', 1)"
 DERIVED["or_ld"] = f"""SELECT page_id, s::JSON AS j FROM (SELECT page_id, unnest({_ld}) AS s FROM fx_page) WHERE json_valid(s)"""
+KIND_SWAPPED = KIND.replace("address", "replace(address, 'info', 'book-it')")

@@ -215,7 +215,7 @@ _tile = lambda d, c, low: f"(least(15, greatest(0, floor(({c} - ({low})) / (1.0:
 def _tiles(cap: int) -> str:
     per = " UNION ALL ".join(f"SELECT point_id, {d} AS depth, {_tile(d, 'lat', 50)} AS cell_y, {_tile(d, 'lon', -2)} AS cell_x FROM fx_points" for d in range(5))
     return f"""SELECT point_id, depth::BIGINT AS depth, cell_y, cell_x, tile_points FROM (SELECT *, count(*) OVER (PARTITION BY depth, cell_y, cell_x) AS tile_points
-      FROM ({per})) WHERE tile_points < {cap} OR depth = 4 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY depth) = 1"""
+      FROM ({per})) WHERE tile_points < {cap} OR depth = 4 QUALIFY rank() OVER (PARTITION BY point_id ORDER BY depth) = 1"""
 
 
 @query("L1_adaptive_tiles", _tiles(200))
@@ -343,7 +343,7 @@ _applied = f"""(WITH r AS MATERIALIZED {_okrules}, a AS (SELECT domain, grp, CAS
 _re = r"""'^' || replace(regexp_replace(CASE WHEN ends_with(value, '$') THEN value[:-2] ELSE value END, '([.+?^${}()|\[\]\\])', '\\\1', 'g'), '*', '.*') || CASE WHEN ends_with(value, '$') THEN '$' ELSE '' END"""
 _path = "CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) END"
 _decided = rf"""SELECT p.page_id, coalesce(w.kind = 'allow', true) AS allowed, w.value AS rule, d.delay_ms FROM fx_page p LEFT JOIN (
-    SELECT p.page_id, x.kind, x.value FROM fx_page p JOIN {_applied} x ON x.domain = p.host AND x.kind <> 'delay' AND x.value <> '' AND regexp_matches({_path}, {_re})
+    SELECT p.page_id, x.kind, x.value FROM fx_page p JOIN {_applied} x ON x.domain = p.host AND x.kind IN ('allow', 'disallow') AND x.value <> '' AND regexp_matches({_path}, {_re})
     QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(regexp_replace(x.value, '[*$]', '', 'g')) DESC, x.kind, CASE WHEN x.kind = 'allow' THEN -x.line ELSE x.line END) = 1) w USING (page_id)
   LEFT JOIN (SELECT domain, arg_min(delay_ms, (grp, -line)) AS delay_ms FROM {_applied} WHERE kind = 'delay' GROUP BY domain) d ON d.domain = p.host"""
 

@@ -41,11 +41,12 @@ def fresh_pages(fetches: DataFrame, now: str, error_ttl: int = 3600) -> DataFram
 
     An error entry lives at most an hour. Only key and times are compared before the choice.
     """
+    fetched = F.col("fetched_at").cast("timestamp")
     keyed = U.cache_key(fetches, "url", "url_key").filter("url_key IS NOT NULL")
     ok = F.coalesce(F.col("status").between(200, 399), F.lit(False))
     ttl = F.when(ok, F.col("ttl_seconds")).otherwise(F.least(F.col("ttl_seconds"), F.lit(error_ttl)))
-    keyed = keyed.withColumns({"fetch_ok": ok, "expires_at": F.timestamp_seconds(F.unix_seconds("fetched_at") + ttl)})
-    latest = first_per_key(keyed, ["url_key"], [-F.unix_micros("fetched_at"), -F.col("id")])
+    keyed = keyed.withColumns({"fetch_ok": ok, "expires_at": F.timestamp_seconds(F.unix_seconds(fetched) + ttl)})
+    latest = first_per_key(keyed, ["url_key"], [-F.unix_micros(fetched), -F.col("id")])
     return latest.filter(F.col("fetch_ok") & (F.col("expires_at") > F.lit(now).cast("timestamp")))
 
 
