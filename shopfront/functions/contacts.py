@@ -1,7 +1,7 @@
 """Email, phone and follower-number columns."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -98,44 +98,50 @@ def phone_candidates(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda v: enough_digits(v) & ~phone_noise(v)))
 
 
-def _plan(code: Column, field: int) -> Column:
-    return lookup(code, {row[0]: row[field] for row in dims.CALLING_CODES}, None)
+def _plan(code: Column) -> Column:
+    """Struct (region, min_len, max_len, mobile, trunk) of a calling code, from one map literal."""
+    entries = []
+    for c, region, low, high, mobile in dims.CALLING_CODES:
+        entries += [F.lit(c), F.struct(F.lit(region).alias("region"), F.lit(low).alias("min_len"), F.lit(high).alias("max_len"),
+                                       F.lit(mobile).alias("mobile"), F.lit(region not in dims.NO_TRUNK_ZERO).alias("trunk"))]
+    return F.try_element_at(F.create_map(*entries), code)
 
 
-def normalize_phone(raw: Column, country: Column) -> Column:
-    """Struct (e164, country, is_mobile, reject_reason) of a raw number.
+def add_phone(df: DataFrame, raw: str, country: str, out: str = "p") -> DataFrame:
+    """Adds a struct (e164, country, is_mobile, reject_reason) for a raw number.
 
     Validity is by calling code and national length. A number written internationally
     is taken as such; otherwise the country hint is tried, then the digits as they are.
+    Built in steps so that each part is computed once.
     """
-    cleaned = tidy_phone(raw)
-    region = F.upper(country)
-    explicit = cleaned.rlike(r"^(\+|00)")
+    c = F.col
     codes = [row[0] for row in dims.CALLING_CODES]
-    prefix = lambda d, n: F.when(F.substring(d, 1, n).isin(codes), F.substring(d, 1, n))
-
-    def parsed(code: Column, national: Column) -> Column:
-        trunkless = F.when(_plan(code, 1).isin(dims.NO_TRUNK_ZERO), national).otherwise(F.regexp_replace(national, "^0", ""))
-        fits = F.length(trunkless).between(_plan(code, 2), _plan(code, 3))
-        mobile = _plan(code, 4)
-        return F.when(fits, F.struct(
-            F.concat(F.lit("+"), code, trunkless).alias("e164"), _plan(code, 1).alias("country"),
-            (F.when(mobile == "", code == "1").otherwise(F.regexp(trunkless, mobile))).alias("is_mobile"),
-            F.lit(None).cast("string").alias("reject_reason")))
-
-    digits = digits_of(F.regexp_replace(cleaned, "^00", ""))
-    code = F.coalesce(prefix(digits, 3), prefix(digits, 2), prefix(digits, 1))
-    international = parsed(code, F.substr(digits, F.length(code) + 1))
-    hint_code = lookup(region, {row[1]: row[0] for row in dims.CALLING_CODES}, None)
-    national = F.when(~explicit & region.isNotNull(), parsed(hint_code, digits_of(cleaned)))
-    reject = lambda reason: F.struct(F.lit(None).cast("string").alias("e164"), F.lit(None).cast("string").alias("country"),
-                                     F.lit(False).alias("is_mobile"), F.lit(reason).alias("reject_reason"))
-    unresolved = F.when(explicit | region.isNotNull(), reject("unparseable")).otherwise(reject("country_unknown"))
-    return (
-        F.when(~enough_digits(cleaned), reject("too_few_digits"))
-        .when(phone_noise(cleaned), reject("not_a_phone"))
-        .otherwise(F.coalesce(national, international, unresolved))
+    prefix = lambda n: F.when(F.substring("_digits", 1, n).isin(codes), F.substring("_digits", 1, n))
+    region_code = lookup(c("_region"), {row[1]: row[0] for row in dims.CALLING_CODES}, None)
+    df = df.withColumns({"_clean": tidy_phone(c(raw)), "_region": F.upper(c(country))})
+    df = df.withColumns({"_explicit": c("_clean").rlike(r"^(\+|00)"), "_digits": digits_of(F.regexp_replace("_clean", "^00", "")),
+                         "_national": digits_of(c("_clean")), "_home": region_code})
+    df = df.withColumn("_code", F.coalesce(prefix(3), prefix(2), prefix(1)))
+    df = df.withColumns({"_plan_home": F.when(~c("_explicit"), _plan(c("_home"))), "_plan_code": _plan(c("_code"))})
+    cut = lambda text, plan: F.when(c(plan + ".trunk"), F.regexp_replace(text, "^0", "")).otherwise(text)
+    df = df.withColumns({"_nat_home": cut(c("_national"), "_plan_home"),
+                         "_nat_code": cut(F.substr(c("_digits"), F.length("_code") + 1), "_plan_code")})
+    fits = lambda text, plan: F.coalesce(F.length(text).between(c(plan + ".min_len"), c(plan + ".max_len")), F.lit(False))
+    df = df.withColumns({"_fits_home": fits("_nat_home", "_plan_home"), "_fits_code": fits("_nat_code", "_plan_code")})
+    reject = (
+        F.when(~enough_digits(c("_clean")), "too_few_digits").when(phone_noise(c("_clean")), "not_a_phone")
+        .when(c("_fits_home") | c("_fits_code"), None)
+        .when(c("_explicit") | c("_region").isNotNull(), "unparseable").otherwise("country_unknown")
     )
+    df = df.withColumn("_reject", reject)
+    pick = lambda home, code: F.when(c("_reject").isNull(), F.when(c("_fits_home"), home).otherwise(code))
+    df = df.withColumns({"_cc": pick(c("_home"), c("_code")), "_nat": pick(c("_nat_home"), c("_nat_code")), "_p": pick(c("_plan_home"), c("_plan_code"))})
+    mobile = F.when(c("_p.mobile") == "", c("_cc") == "1").otherwise(F.regexp(c("_nat"), c("_p.mobile")))
+    df = df.withColumn(out, F.struct(
+        F.concat(F.lit("+"), c("_cc"), c("_nat")).alias("e164"), c("_p.region").alias("country"),
+        F.coalesce(mobile, F.lit(False)).alias("is_mobile"), c("_reject").alias("reject_reason")))
+    return df.drop("_clean", "_region", "_explicit", "_digits", "_national", "_home", "_code", "_plan_home", "_plan_code", "_nat_home", "_nat_code",
+                   "_fits_home", "_fits_code", "_reject", "_cc", "_nat", "_p")
 
 
 # ------------------------------------------------------------- followers

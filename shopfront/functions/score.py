@@ -12,7 +12,14 @@ from .. import dims
 
 
 def lookup(key: Column, mapping: dict, default) -> Column:
-    """CASE over a small constant mapping."""
+    """Value of a key in a small constant mapping.
+
+    A few entries become a CASE; more become one map literal, which keeps generated code small.
+    """
+    if len(mapping) > 8:
+        entries = [F.lit(x) for pair in mapping.items() for x in pair]
+        found = F.try_element_at(F.create_map(*entries), key)
+        return found if default is None else F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
     out = None
     for name, value in mapping.items():
         out = F.when(key == name, value) if out is None else out.when(key == name, value)

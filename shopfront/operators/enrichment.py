@@ -125,7 +125,7 @@ def phone_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
         _ranked("text", F.regexp_extract_all(H.body_text(html), F.lit(dims.PHONE_PATTERN), 0), 3, conf["text"]),
     ).alias("finds"))
     rows = unnest(finds, [key, "country_code"], F.col("finds"), "f").withColumn("raw", C.tidy_phone(F.col("f.value")))
-    rows = rows.filter(C.enough_digits(F.col("raw"))).withColumn("p", C.normalize_phone(F.col("raw"), F.col("country_code")))
+    rows = C.add_phone(rows.filter(C.enough_digits(F.col("raw"))), "raw", "country_code")
     rows = rows.select(key, F.coalesce("p.e164", "raw").alias("phone_key"), "raw", "p.e164", "p.is_mobile",
                        (F.col("f.source") == "whatsapp").alias("is_whatsapp"), "f.source", "f.confidence", "p.reject_reason", "f.rank", "f.pos")
     return first_per_key(rows, [key, "phone_key"], [F.col("rank"), F.col("pos")]).drop("rank", "pos", "phone_key")

@@ -225,7 +225,7 @@ def upsert(old: DataFrame, new: DataFrame, now: str) -> DataFrame:
 def poi_phones(pois: DataFrame) -> DataFrame:
     """(osm_key, ord, raw, e164, is_mobile, confidence, reject_reason) of the phone tags."""
     rows = unnest_with_position(pois, ["osm_key", "country_code"], F.col("phones"), "ord", "raw")
-    rows = rows.withColumn("p", C.normalize_phone(F.col("raw"), F.col("country_code")))
+    rows = C.add_phone(rows, "raw", "country_code")
     return rows.select("osm_key", "ord", "raw", "p.e164", "p.is_mobile",
                        F.when(F.col("p.e164").isNotNull(), 70).otherwise(50).cast("bigint").alias("confidence"), "p.reject_reason")
 

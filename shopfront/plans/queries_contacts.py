@@ -73,7 +73,7 @@ def _(t):
         (F.col("country_code"), F.concat(F.lit("020 7946 "), pad(4))), (F.col("country_code"), F.concat(F.lit("+44 (0) 7700 900"), pad(3))),
         (none, F.concat(F.lit("0049 30 "), (k + 100000).cast("string"))), (F.col("country_code"), last)])))
     df = t.business.select(F.explode(raws).alias("r")).select("r.*")
-    return df.withColumn("p", C.normalize_phone(F.col("raw"), F.col("country_code"))).select("id", "p.e164", "p.is_mobile", "p.reject_reason")
+    return C.add_phone(df, "raw", "country_code").select("id", "p.e164", "p.is_mobile", "p.reject_reason")
 
 
 _num = r"regexp_replace(regexp_extract(lower(trim(s)), '(\d[\d\s.,]*)\s*(k|m|b|mil|mn|thousand|million|billion)?', 1), '\s', '', 'g')"
