@@ -1,6 +1,9 @@
 """What a saved homepage says about the state of a website."""
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,11 +11,23 @@ from .. import dims
 from .urls import normalize_host, under_any
 
 
-def site_platform(html: Column, server: Column) -> Column:
-    """First matching site builder in the page, else the web server of the header."""
-    out = F.when(F.coalesce(html, F.lit("")) == "", None)
+def mentions(lower: Column, pattern: str) -> Column:
+    """A lower-cased text contains the pattern.
+
+    A pattern of plain alternatives becomes substring tests, about ten times faster than a
+    case-insensitive regular expression over a whole page.
+    """
+    words = [w.replace(r"\.", ".") for w in pattern.split("|")]
+    if any(re.search(r"[\\\[\](){}?*+^$.]", w.replace(".", "")) for w in words):
+        return lower.rlike(pattern)
+    return reduce(lambda a, b: a | b, (lower.contains(w.lower()) for w in words))
+
+
+def site_platform(lower: Column, server: Column) -> Column:
+    """First matching site builder in the lower-cased page, else the web server of the header."""
+    out = F.when(F.coalesce(lower, F.lit("")) == "", None)
     for name, pattern in dims.SITE_PLATFORMS:
-        out = out.when(html.rlike("(?i)" + pattern), name)
+        out = out.when(mentions(lower, pattern), name)
     for name, pattern in dims.SERVER_PLATFORMS:
         out = out.when(server.rlike("(?i)" + pattern), name)
     return out
@@ -23,8 +38,8 @@ def site_title(html: Column) -> Column:
     return F.nullif(F.substring(F.trim(F.regexp_replace(title, r"\s+", " ")), 1, 200), F.lit(""))
 
 
-def has_video(html: Column) -> Column:
-    return F.coalesce(html.rlike("(?i)" + "|".join(dims.VIDEO_MARKERS)), F.lit(False))
+def has_video(lower: Column) -> Column:
+    return F.coalesce(reduce(lambda a, b: a | b, (mentions(lower, p) for p in dims.VIDEO_MARKERS)), F.lit(False))
 
 
 def links_to_own_host(html: Column, final_url: Column) -> Column:
@@ -43,6 +58,7 @@ def site_verdict(df: DataFrame) -> DataFrame:
     parked_host = F.get(F.filter(F.col("redirect_hosts"), lambda h: under_any(h, dims.PARKING_HOSTS)), F.lit(0))
     has_body = F.coalesce(html, F.lit("")) != ""
     df = df.withColumns({
+        "v_lower": F.lower(html),
         "v_parked_host": parked_host,
         "v_parses": ~F.col("robots_blocked") & status.between(200, 299) & has_body
         & ~F.coalesce(F.col("error_kind") == "too_many_redirects", F.lit(False)),
@@ -50,8 +66,8 @@ def site_verdict(df: DataFrame) -> DataFrame:
     df = df.withColumn("v_own_links", F.when(F.col("v_parses"), links_to_own_host(html, F.col("final_url"))))
     thin = F.col("v_parses") & (F.length(html) < dims.THIN_PAGE_CHARS)
     kb = F.greatest(F.lit(1), F.floor(F.length(html) / 1024 + 0.5))
-    lower = F.lower(html)
-    said = [F.when(lower.rlike(pattern), label) for pattern, label in dims.PARKING_PHRASES]
+    lower = F.col("v_lower")
+    said = [F.when(mentions(lower, pattern), label) for pattern, label in dims.PARKING_PHRASES]
     redirected = F.when(F.col("v_parked_host").isNotNull(),
                         F.concat(F.lit("redirected to parking host "), F.col("v_parked_host")))
     page_evidence = F.array_compact(F.array(
@@ -84,4 +100,4 @@ def site_verdict(df: DataFrame) -> DataFrame:
         .when(F.col("thin") | ~F.col("v_own_links"), "live_weak")
         .otherwise("live")
     )
-    return df.withColumn("site_state", state).drop("v_parked_host", "v_parses", "v_own_links")
+    return df.withColumn("site_state", state).drop("v_lower", "v_parked_host", "v_parses", "v_own_links")

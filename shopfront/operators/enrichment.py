@@ -23,8 +23,11 @@ def parseable(pages: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ probe
 def site_facts(pages: DataFrame) -> DataFrame:
-    return pages.withColumns({"platform": T.site_platform(F.col("html"), F.col("server")), "title": T.site_title(F.col("html")),
-                              "has_video": T.has_video(F.col("html"))})
+    """Adds platform, title and has_video. The page is lower-cased once for all the marker tests."""
+    lower = F.col("_lower")
+    df = pages.withColumn("_lower", F.lower("html"))
+    return df.withColumns({"platform": T.site_platform(lower, F.col("server")), "title": T.site_title(F.col("html")),
+                           "has_video": T.has_video(lower)}).drop("_lower")
 
 
 def site_probe_job(leads: DataFrame, pages: DataFrame, socials: DataFrame) -> DataFrame:
@@ -98,12 +101,13 @@ def email_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
     gather = lambda arr: F.flatten(F.transform(arr, C.find_emails))
     protected = F.filter(F.transform(H.attribute_values(html, "data-cfemail"), C.decode_protected), lambda a: a.isNotNull())
     conf = dict(dims.EMAIL_SOURCES)
-    finds = pages.select(key, html.alias("html"), text.alias("text")).select(key, F.concat(
+    texts = pages.select(key, html.alias("html"), text.alias("text")).withColumn("marked", C.mark_spelled(F.col("text")))
+    finds = texts.select(key, F.concat(
         _ranked("mailto", gather(F.transform(mailto, decoded)), 0, conf["mailto"]),
         _ranked("jsonld", gather(F.transform(H.ld_strings(html, "email"), lambda v: F.regexp_replace(v, "(?i)^mailto:", ""))), 1, conf["jsonld"]),
         _ranked("protected", F.filter(F.transform(protected, lambda a: F.lower(F.substring_index(F.trim(a), "?", 1))), C.plausible_email), 2, conf["protected"]),
         _ranked("text", C.find_emails(F.col("text")), 3, conf["text"]),
-        _ranked("repaired", C.find_emails(C.deobfuscate(F.col("text"))), 4, conf["repaired"]),
+        _ranked("repaired", C.find_repaired(F.col("marked")), 4, conf["repaired"]),
     ).alias("finds"))
     rows = unnest(finds, [key], F.col("finds"), "f").select(key, F.col("f.value").alias("address"), "f.source", "f.confidence", "f.rank", "f.pos")
     best = first_per_key(rows, [key, "address"], [F.col("rank"), F.col("pos")])
@@ -257,12 +261,14 @@ def follower_check_job(socials: DataFrame, profiles: DataFrame) -> DataFrame:
     not shuffled with the accounts; accounts that need no page skip the join.
     """
     due = platform_policy(socials).withColumn("profile_url", profile_url(F.col("platform"), F.col("url")))
-    platforms = [p for p, (attempt, _) in dims.PLATFORM_POLICY.items() if attempt]
-    parsed = profiles.select(
-        "profile_url", F.col("status").alias("page_status"), F.col("robots_blocked").alias("page_robots"), F.col("html").isNotNull().alias("has_page"),
-        F.explode(F.array(*(F.struct(F.lit(p).alias("platform"), C.followers_parse(F.lit(p), F.col("html")).alias("f")) for p in platforms))).alias("x"))
-    parsed = parsed.filter(profile_host_matches(F.col("profile_url"), F.col("x.platform"))).select(
-        "profile_url", "x.platform", "x.f", "page_status", "page_robots", "has_page")
+    wanted = [p for p, (attempt, _) in dims.PLATFORM_POLICY.items() if attempt]
+    host_platform = U.social_platform(U.strip_www(F.lower(F.regexp_extract("profile_url", r"^https?://([^/?#]+)", 1))))
+    # a page is read for the platform of its host, or for every platform when the host is none of them
+    kinds = F.filter(F.array(*map(F.lit, wanted)), lambda p: host_platform.isNull() | (host_platform == p))
+    pages = unnest(profiles, ["profile_url", "html", "status", "robots_blocked"], kinds, "platform")
+    parsed = C.add_followers(pages, "platform", "html").select(
+        "profile_url", "platform", "f", F.col("status").alias("page_status"), F.col("robots_blocked").alias("page_robots"),
+        F.col("html").isNotNull().alias("has_page"))
     df = due.join(parsed, ["profile_url", "platform"], "left")
     status = F.col("page_status")
     denied = status.isin(401, 403)
@@ -287,9 +293,3 @@ def follower_check_job(socials: DataFrame, profiles: DataFrame) -> DataFrame:
         *(c for c in socials.columns if c not in ("followers", "followers_state", "followers_reason", "has_video")),
         F.col("new_followers").alias("followers"), F.col("new_state").alias("followers_state"), F.col("new_reason").alias("followers_reason"),
         F.col("new_video").alias("has_video"), "outcome")
-
-
-def profile_host_matches(url: Column, platform: Column) -> Column:
-    """Parse a page only for the platform its host belongs to; pages on other hosts for all."""
-    found = U.social_platform(U.strip_www(F.lower(F.regexp_extract(url, r"^https?://([^/?#]+)", 1))))
-    return found.isNull() | (found == platform)

@@ -199,7 +199,7 @@ _parse_sql = f"""SELECT *, CASE WHEN n IS NOT NULL THEN 'known' WHEN skip IS NOT
 @query("J16_followers_parse", f"SELECT id, n AS followers, state, reason, video AS has_video FROM ({_parse_sql})")
 def _(t):
     df = t.social.select("id", "platform").join(t.profile.withColumnRenamed("social_id", "id"), "id")
-    return df.withColumn("f", C.followers_parse(F.col("platform"), F.col("html"))).select("id", "f.followers", "f.state", "f.reason", "f.has_video")
+    return C.add_followers(df, "platform", "html").select("id", "f.followers", "f.state", "f.reason", "f.has_video")
 
 
 @query("J17_platform_policy", f"SELECT id, {_policy} IS NULL AS attempt, {_policy} AS policy_reason, CASE WHEN {_policy} = 'platform_tos_blocked' THEN 'blocked' WHEN {_policy} IS NOT NULL THEN 'unsupported' END AS policy_state FROM fx_social")
