@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,8 +209,6 @@ def normalize_name(col: Column, nfkd: bool = False) -> Column:
     nfkd=True decomposes all scripts (an Arrow UDF); the default covers Latin letters in the JVM.
     """
     if nfkd:
-        import pandas as pd
-
         @F.pandas_udf("string")
         def decompose(values: pd.Series) -> pd.Series:
             return values.str.normalize("NFKD")

@@ -30,21 +30,35 @@ def site_facts(pages: DataFrame) -> DataFrame:
                            "has_video": T.has_video(lower)}).drop("_lower")
 
 
-def site_probe_job(leads: DataFrame, pages: DataFrame, socials: DataFrame) -> DataFrame:
-    """Site state and facts of every lead from its homepage snapshot.
+FACTS = ["probed_state", "evidence", "platform", "title", "has_video", "http_status", "has_ssl", "final_url"]
+
 
-    The verdict is computed on the page side, so only short columns travel through the
-    join. Leads without a website are settled by whether they have a social account.
-    Pages carry url_key, status, error_kind, redirect_hosts, hops, html, server, final_url,
-    has_ssl and robots_blocked.
+def page_facts(pages: DataFrame) -> DataFrame:
+    """Adds the FACTS columns: what a probe of the page finds, a redirect loop overriding the rest.
+
+    Pages carry status, error_kind, redirect_hosts, hops, html, server, final_url, has_ssl and
+    robots_blocked.
     """
     verdict = site_facts(T.site_verdict(pages))
     loop = F.col("hops") >= 5
-    facts = verdict.select(
-        "url_key", F.when(loop, "too_many_redirects").otherwise(F.col("site_state")).alias("probed_state"),
-        F.when(loop, F.array(F.lit("more than 5 redirects"))).otherwise(F.col("evidence")).alias("evidence"),
-        F.when(~loop, F.col("platform")).alias("platform"), F.when(~loop, F.col("title")).alias("title"),
-        (~loop & F.col("has_video")).alias("has_video"), F.col("status").alias("http_status"), "has_ssl", "final_url")
+    return verdict.withColumns({
+        "probed_state": F.when(loop, "too_many_redirects").otherwise(F.col("site_state")),
+        "evidence": F.when(loop, F.array(F.lit("more than 5 redirects"))).otherwise(F.col("evidence")),
+        "platform": F.when(~loop, F.col("platform")), "title": F.when(~loop, F.col("title")),
+        "has_video": ~loop & F.col("has_video"), "http_status": F.col("status"),
+    })
+
+
+def site_probe_job(leads: DataFrame, pages: DataFrame, socials: DataFrame) -> DataFrame:
+    """Site state and facts of every lead from its homepage snapshot (one row per url_key).
+
+    The facts are computed on the page side, so only short columns travel through the join.
+    """
+    return probe_leads(leads, page_facts(pages).select("url_key", *FACTS), socials)
+
+
+def probe_leads(leads: DataFrame, facts: DataFrame, socials: DataFrame) -> DataFrame:
+    """Leads with the facts of their page; those without a website are settled by their social accounts."""
     social = socials.select(F.col("business_id").alias("id")).distinct().withColumn("_social", F.lit(True))
     df = leads.drop("site_state").join(facts, "url_key", "left").join(social, "id", "left")
     no_site = F.when(F.col("_social"), "social_only").otherwise("no_tag")
@@ -89,62 +103,86 @@ def _ranked(source: str, values: Column, ord_: int, confidence: float) -> Column
         F.lit(ord_).alias("rank"), i.alias("pos"), F.lit(source).alias("source"), v.alias("value"), F.lit(confidence).alias("confidence")))
 
 
-def email_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page, address, kind, source, confidence) of every page; the most precise source of an address wins.
+def page_parts(pages: DataFrame) -> DataFrame:
+    """Adds what all extractions read: visible text, link targets, and the text with spelled-out addresses marked."""
+    df = pages.withColumns({"_text": H.body_text(F.col("html")), "_hrefs": H.hrefs(F.col("html"))})
+    return df.withColumn("_marked", C.mark_spelled(F.col("_text")))
 
-    One pass over the pages builds a short array of finds; only those are shuffled.
-    """
-    html = F.col("html")
-    text = H.body_text(html)
+
+def email_finds() -> Column:
+    """Array of the addresses of a page with their source, over the columns of page_parts."""
+    html, text, hrefs = F.col("html"), F.col("_text"), F.col("_hrefs")
     decoded = lambda h: F.coalesce(F.try_url_decode(F.replace(h, F.lit("+"), F.lit("%2B"))), h)
-    mailto = F.filter(H.hrefs(html), lambda h: h.rlike("(?i)^mailto:"))
+    mailto = F.filter(hrefs, lambda h: h.rlike("(?i)^mailto:"))
     gather = lambda arr: F.flatten(F.transform(arr, C.find_emails))
     protected = F.filter(F.transform(H.attribute_values(html, "data-cfemail"), C.decode_protected), lambda a: a.isNotNull())
+    shown = F.filter(F.transform(protected, lambda a: F.lower(F.substring_index(F.trim(a), "?", 1))), C.plausible_email)
+    declared = F.transform(H.ld_strings(html, "email"), lambda v: F.regexp_replace(v, "(?i)^mailto:", ""))
     conf = dict(dims.EMAIL_SOURCES)
-    texts = pages.select(key, html.alias("html"), text.alias("text")).withColumn("marked", C.mark_spelled(F.col("text")))
-    finds = texts.select(key, F.concat(
-        _ranked("mailto", gather(F.transform(mailto, decoded)), 0, conf["mailto"]),
-        _ranked("jsonld", gather(F.transform(H.ld_strings(html, "email"), lambda v: F.regexp_replace(v, "(?i)^mailto:", ""))), 1, conf["jsonld"]),
-        _ranked("protected", F.filter(F.transform(protected, lambda a: F.lower(F.substring_index(F.trim(a), "?", 1))), C.plausible_email), 2, conf["protected"]),
-        _ranked("text", C.find_emails(F.col("text")), 3, conf["text"]),
-        _ranked("repaired", C.find_repaired(F.col("marked")), 4, conf["repaired"]),
-    ).alias("finds"))
-    rows = unnest(finds, [key], F.col("finds"), "f").select(key, F.col("f.value").alias("address"), "f.source", "f.confidence", "f.rank", "f.pos")
+    return F.concat(
+        _ranked("mailto", gather(F.transform(mailto, decoded)), 0, conf["mailto"]), _ranked("jsonld", gather(declared), 1, conf["jsonld"]),
+        _ranked("protected", shown, 2, conf["protected"]), _ranked("text", C.find_emails(text), 3, conf["text"]),
+        _ranked("repaired", C.find_repaired(F.col("_marked")), 4, conf["repaired"]))
+
+
+def emails_of(finds: DataFrame, key: str) -> DataFrame:
+    rows = unnest(finds, [key], F.col("email_finds"), "f").select(key, F.col("f.value").alias("address"), "f.source", "f.confidence", "f.rank", "f.pos")
     best = first_per_key(rows, [key, "address"], [F.col("rank"), F.col("pos")])
     return best.select(key, "address", C.email_kind(F.col("address")).alias("kind"), "source", "confidence")
 
 
-def phone_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page, raw, e164, is_mobile, is_whatsapp, source, confidence, reject_reason); pages may carry country_code."""
-    html = F.col("html")
-    country = F.col("country_code") if "country_code" in pages.columns else F.lit(None).cast("string")
-    hrefs = H.hrefs(html)
+def email_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page, address, kind, source, confidence) of every page; the most precise source of an address wins.
+
+    One pass over the pages builds a short array of finds; only those are shuffled.
+    """
+    return emails_of(page_parts(pages).select(key, email_finds().alias("email_finds")), key)
+
+
+CHAT_LINK = r"(?i)(?:wa\.me|api\.whatsapp\.com/send\?phone=)/?(\+?\d{6,})"
+
+
+def phone_finds() -> Column:
+    """Array of the number-like strings of a page with their source, over the columns of page_parts."""
+    hrefs = F.col("_hrefs")
     tel = F.filter(hrefs, lambda h: h.rlike("(?i)^tel:"))
-    chat_pattern = r"(?i)(?:wa\.me|api\.whatsapp\.com/send\?phone=)/?(\+?\d{6,})"
-    chat = F.transform(F.filter(hrefs, lambda h: h.rlike(chat_pattern)), lambda h: F.regexp_extract(h, chat_pattern, 1))
+    chat = F.transform(F.filter(hrefs, lambda h: h.rlike(CHAT_LINK)), lambda h: F.regexp_extract(h, CHAT_LINK, 1))
+    written = F.regexp_extract_all(F.col("_text"), F.lit(dims.PHONE_PATTERN), 0)
     conf = dict(dims.PHONE_SOURCES)
-    finds = pages.select(key, country.alias("country_code"), F.concat(
-        _ranked("tel", tel, 0, conf["tel"]), _ranked("whatsapp", chat, 1, conf["whatsapp"]),
-        _ranked("jsonld", H.ld_strings(html, "telephone|phone"), 2, conf["jsonld"]),
-        _ranked("text", F.regexp_extract_all(H.body_text(html), F.lit(dims.PHONE_PATTERN), 0), 3, conf["text"]),
-    ).alias("finds"))
-    rows = unnest(finds, [key, "country_code"], F.col("finds"), "f").withColumn("raw", C.tidy_phone(F.col("f.value")))
+    return F.concat(_ranked("tel", tel, 0, conf["tel"]), _ranked("whatsapp", chat, 1, conf["whatsapp"]),
+                    _ranked("jsonld", H.ld_strings(F.col("html"), "telephone|phone"), 2, conf["jsonld"]), _ranked("text", written, 3, conf["text"]))
+
+
+def phones_of(finds: DataFrame, key: str) -> DataFrame:
+    rows = unnest(finds, [key, "country_code"], F.col("phone_finds"), "f").withColumn("raw", C.tidy_phone(F.col("f.value")))
     rows = C.add_phone(rows.filter(C.enough_digits(F.col("raw"))), "raw", "country_code")
     rows = rows.select(key, F.coalesce("p.e164", "raw").alias("phone_key"), "raw", "p.e164", "p.is_mobile",
                        (F.col("f.source") == "whatsapp").alias("is_whatsapp"), "f.source", "f.confidence", "p.reject_reason", "f.rank", "f.pos")
     return first_per_key(rows, [key, "phone_key"], [F.col("rank"), F.col("pos")]).drop("rank", "pos", "phone_key")
 
 
-def social_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page, platform, url, handle) of the profiles a page links to, declares or mentions."""
-    html = F.col("html")
-    mentions = F.transform(F.regexp_extract_all(H.body_text(html), F.lit(dims.SOCIAL_MENTION), 0), lambda m: F.concat(F.lit("https://"), m))
-    candidates = F.concat(_ranked("link", H.hrefs(html), 0, 0.0), _ranked("jsonld", H.ld_same_as(html), 1, 0.0), _ranked("text", mentions, 2, 0.0))
+def phone_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page, raw, e164, is_mobile, is_whatsapp, source, confidence, reject_reason); pages may carry country_code."""
+    return phones_of(page_parts(pages).select(key, country_hint(pages), phone_finds().alias("phone_finds")), key)
+
+
+def country_hint(pages: DataFrame) -> Column:
+    known = "country_code" in pages.columns
+    return (F.col("country_code") if known else F.lit(None).cast("string")).alias("country_code")
+
+
+def social_finds() -> Column:
+    """Array of links that may be profiles, over the columns of page_parts."""
+    mentions = F.transform(F.regexp_extract_all(F.col("_text"), F.lit(dims.SOCIAL_MENTION), 0), lambda m: F.concat(F.lit("https://"), m))
+    found = F.concat(_ranked("link", F.col("_hrefs"), 0, 0.0), _ranked("jsonld", H.ld_same_as(F.col("html")), 1, 0.0), _ranked("text", mentions, 2, 0.0))
     # a cheap host test keeps the many ordinary links out of the URL work
-    hosts = [*dims.SOCIAL_HOSTS, *dims.LINK_HUB_HOSTS]
-    maybe = "(?i)" + "|".join(h.replace(".", r"\.") for h in hosts)
-    finds = unnest(pages, [key], F.filter(candidates, lambda c: c["value"].rlike(maybe)), "f").select(key, "f.value", "f.rank", "f.pos")
-    rows = U.url_identity(finds, "value").filter("n_url IS NOT NULL AND (n_is_social OR n_is_hub) AND NOT n_share")
+    maybe = "(?i)" + "|".join(h.replace(".", r"\.") for h in [*dims.SOCIAL_HOSTS, *dims.LINK_HUB_HOSTS])
+    return F.filter(found, lambda c: c["value"].rlike(maybe))
+
+
+def socials_of(finds: DataFrame, key: str) -> DataFrame:
+    links = unnest(finds, [key], F.col("social_finds"), "f").select(key, "f.value", "f.rank", "f.pos")
+    rows = U.url_identity(links, "value").filter("n_url IS NOT NULL AND (n_is_social OR n_is_hub) AND NOT n_share")
     rows = rows.withColumn("platform", F.when(F.col("n_is_hub"), "linkinbio").otherwise(F.col("n_platform")))
     rows = rows.withColumn("account", F.coalesce("n_handle", F.lower("n_url")))
     best = first_per_key(rows.select(key, "platform", "account", F.col("n_url").alias("url"), F.col("n_handle").alias("handle"), "rank", "pos"),
@@ -152,6 +190,27 @@ def social_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return best.select(key, "platform", "url", "handle")
 
 
+def social_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page, platform, url, handle) of the profiles a page links to, declares or mentions."""
+    return socials_of(page_parts(pages).select(key, social_finds().alias("social_finds")), key)
+
+
+def extract_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Facts and finds of every page in one pass; the page text itself is left behind.
+
+    Write the result once and build emails, phones, profiles and verdicts from it: the pages,
+    by far the largest input, are then read a single time.
+    """
+    readable = F.coalesce(F.col("html"), F.lit("")) != ""
+    if "content_type" in pages.columns:
+        readable = readable & (F.col("content_type").isNull() | F.col("content_type").rlike(HTML_TYPES))
+    df = page_parts(page_facts(pages))
+    only = lambda finds: F.when(readable, finds)
+    return df.select(
+        key, "url_key", "url", "host", *FACTS, country_hint(pages), only(email_finds()).alias("email_finds"),
+        only(phone_finds()).alias("phone_finds"), only(social_finds()).alias("social_finds"))
+
+
 def jsonld_values(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(page, key, value) of email, telephone, phone and sameAs in valid ld+json scripts."""
     html = F.col("html")

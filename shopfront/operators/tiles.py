@@ -1,7 +1,7 @@
 """Adaptive map tiles and the checks on tile responses."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -26,12 +26,12 @@ def adaptive_tiles(points: DataFrame, bbox: tuple[float, float, float, float], c
     tiles = counts.withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
     tiles = tiles.withColumns({"cell_y": F.expr(f"shiftright(_y, {dims.MAX_TILE_DEPTH} - depth)"),
                                "cell_x": F.expr(f"shiftright(_x, {dims.MAX_TILE_DEPTH} - depth)")})
-    totals = tiles.groupBy("depth", "cell_y", "cell_x").agg(F.sum("n").alias("total"))
+    # at most 256 cells at 5 depths, so this window is small
+    tiles = tiles.withColumn("total", F.sum("n").over(Window.partitionBy("depth", "cell_y", "cell_x")))
     span = max(north - south, east - west)
     narrow = F.lit(span) / F.pow(F.lit(2.0), F.col("depth")) <= 2 * dims.MIN_TILE_DEGREES
-    final = totals.filter((F.col("total") < cap) | (F.col("depth") == dims.MAX_TILE_DEPTH) | narrow)
-    chosen = tiles.join(final, ["depth", "cell_y", "cell_x"]).groupBy("_y", "_x").agg(
-        F.min(F.struct("depth", "cell_y", "cell_x", "total")).alias("t"))
+    final = tiles.filter((F.col("total") < cap) | (F.col("depth") == dims.MAX_TILE_DEPTH) | narrow)
+    chosen = final.groupBy("_y", "_x").agg(F.min(F.struct("depth", "cell_y", "cell_x", "total")).alias("t"))
     return fine.join(F.broadcast(chosen), ["_y", "_x"]).select(
         *points.columns, "t.depth", "t.cell_y", "t.cell_x", F.col("t.total").alias("tile_points"))
 

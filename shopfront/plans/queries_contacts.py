@@ -1,6 +1,8 @@
 """Emails, phones, social profiles and follower counts from texts and pages; the whole chain."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -9,6 +11,7 @@ from ..functions import html as H
 from ..operators import enrichment as E
 from ..operators import leads as L
 from ..operators.ordered import first_per_key, insert_new
+from ..session import shared_dir
 from . import oracle_tables as O
 from .registry import query
 
@@ -228,21 +231,27 @@ def _(t):
 
 # --------------------------------------------------------------- the chain
 def pages_to_leads(t):
-    """Saved homepages to a ranked lead table: verdict, contacts and profiles per page, summaries, score."""
+    """Saved homepages to a ranked lead table: verdict, contacts and profiles per page, summaries, score.
+
+    The pages are read once: their facts and finds are written to the shared folder, and all
+    further steps work on that narrow table.
+    """
     from .queries_pages import pages
 
-    saved = pages(t)
-    leads = saved.select(F.col("page_id").alias("id"), "url_key", F.col("url").alias("website_url"), F.col("host").alias("name"))
-    emails = E.email_extract_job(E.parseable(saved)).select(F.col("page_id").alias("business_id"), "address", "kind",
-                                                           F.round(F.col("confidence") * 100).cast("bigint").alias("confidence"), F.xxhash64("address").alias("id"))
-    phones = E.phone_extract_job(E.parseable(saved)).select(F.col("page_id").alias("business_id"), "raw", "e164",
-                                                           F.round(F.col("confidence") * 100).cast("bigint").alias("confidence"), F.xxhash64("raw").alias("id"))
-    socials = E.social_extract_job(E.parseable(saved)).select(
-        F.col("page_id").alias("business_id"), "platform", "url", F.lit(None).cast("bigint").alias("manual_override"), F.lit("not_attempted").alias("followers_state"),
+    path = f"{shared_dir(t.spark)}/page-facts-{uuid.uuid4().hex}"
+    E.extract_pages(pages(t)).write.parquet(path)
+    facts = t.spark.read.parquet(path)
+    percent = F.round(F.col("confidence") * 100).cast("bigint").alias("confidence")
+    owner = F.col("page_id").alias("business_id")
+    emails = E.emails_of(facts, "page_id").select(owner, "address", "kind", percent, F.xxhash64("address").alias("id"))
+    phones = E.phones_of(facts, "page_id").select(owner, "raw", "e164", percent, F.xxhash64("raw").alias("id"))
+    socials = E.socials_of(facts, "page_id").select(
+        owner, "platform", "url", F.lit(None).cast("bigint").alias("manual_override"), F.lit("not_attempted").alias("followers_state"),
         F.lit(None).cast("bigint").alias("followers"), F.lit(False).alias("has_video"))
-    probed = E.site_probe_job(leads, saved, socials).withColumn("hops", F.lit(0)).withColumn("scraped", F.col("site_state").isin(dims.SCRAPEABLE_STATES))
-    staged = E.stage_derive(probed)
-    return L.scored(L.denorm(staged.drop("has_video"), phones, emails, socials))
+    # each page is its own lead here, so its facts are already beside it and no join is needed
+    leads = facts.select(F.col("page_id").alias("id"), F.col("url").alias("website_url"), F.col("host").alias("name"), F.col("probed_state").alias("site_state"),
+                         F.lit(0).alias("hops"), F.col("probed_state").isin(dims.SCRAPEABLE_STATES).alias("scraped"))
+    return L.scored(L.denorm(E.stage_derive(leads), phones, emails, socials))
 
 
 _parseable = "(SELECT page_id FROM fx_page WHERE status IS NOT NULL AND content_type LIKE 'text/html%')"

@@ -230,7 +230,7 @@ def _(t):
        " (SELECT count(*) AS total FROM or_lead) t")
 def _(t):
     rows, total = L.feed_page(t.leads(), page=3, size=25)
-    return rows.select("id", "score").join(F.broadcast(total))
+    return rows.select("id", "score", total.scalar().alias("total"))
 
 
 @query("F5_best_lead", f"""SELECT 'all' AS family, id, name, score FROM (SELECT * FROM or_lead ORDER BY {SQL_ORDER['score']} LIMIT 1) UNION ALL

@@ -131,16 +131,15 @@ def _(t):
 
 
 def leads_with_pages(t):
-    """Every lead probed against one of the saved pages: the page of its id within the page count."""
-    n = F.broadcast(t.pages.agg(F.count("*").alias("n_pages")))
-    return t.business.join(n).withColumn("url_key", F.concat(F.lit("p"), (F.col("id") % F.col("n_pages")).cast("string"))).drop("n_pages")
+    """Every lead with the key of its homepage snapshot; most have none saved."""
+    return t.business.withColumn("url_key", F.concat(F.lit("p"), F.col("id").cast("string")))
 
 
 _leadpage = f"""SELECT b.id, b.website_url, v.hops, v.url AS page_url, v.page_id, CASE WHEN b.website_url IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM fx_social s WHERE s.business_id = b.id) THEN 'social_only' ELSE 'no_tag' END
-    WHEN hops >= 5 THEN 'too_many_redirects' ELSE v.site_state END AS site_state,
-  CASE WHEN b.website_url IS NULL THEN '' WHEN hops >= 5 THEN 'more than 5 redirects' ELSE array_to_string(evidence, '|') END AS evidence,
+    WHEN hops >= 5 THEN 'too_many_redirects' ELSE coalesce(v.site_state, 'has_tag_unprobed') END AS site_state,
+  CASE WHEN b.website_url IS NULL THEN '' WHEN hops >= 5 THEN 'more than 5 redirects' ELSE coalesce(array_to_string(evidence, '|'), '') END AS evidence,
   CASE WHEN hops < 5 AND status IS NOT NULL THEN {_platform} END AS platform, CASE WHEN hops < 5 AND status IS NOT NULL THEN {_title} END AS title, v.status AS http_status
-  FROM fx_business b JOIN ({_verdict}) v ON v.page_id = b.id % (SELECT count(*) FROM pages)"""
+  FROM fx_business b LEFT JOIN ({_verdict}) v ON v.page_id = b.id"""
 
 
 @query("K1_site_probe_job", f"SELECT id, site_state, evidence, platform, title, http_status, site_state IN ('server_error', 'timeout') AS retryable FROM ({_leadpage})")

@@ -6,8 +6,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import leads as L
+from ..sources.tables import spread
 from . import fixtures as fx
 
+# fixtures whose rows are whole pages or documents
+TEXTS = {"page", "doc_text", "profile"}
+
 
 class Inputs:
     """The given tables and fixtures of one folder, read lazily by attribute name."""
@@ -18,7 +22,8 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name in fx.GIVEN:
             return fx.table(self.spark, self.sf_dir, name)
-        return fx.table(self.spark, self.sf_dir, "fx_" + name)
+        df = fx.table(self.spark, self.sf_dir, "fx_" + name)
+        return spread(df, df.columns[0]) if name in TEXTS else df
 
     def denorm(self) -> DataFrame:
         return L.denorm(self.business, self.phone, self.email, self.social)

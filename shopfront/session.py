@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.enabled": "false",
+    # Python call sites in error messages cost about a millisecond per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
