@@ -21,3 +21,13 @@ def unnest_with_position(df: DataFrame, keep: list, array: Column, pos: str, ali
     rows = unnest(df, keep, pairs, "_pair")
     names = [c for c in rows.columns if c != "_pair"]
     return rows.select(*names, F.col("_pair.i").alias(pos), F.col("_pair.v").alias(alias))
+
+
+def keep(df: DataFrame, condition: Column, columns: list) -> DataFrame:
+    """The given columns of rows that meet a condition on deeply computed columns.
+
+    A plain filter would be pushed below the projections that compute those columns, and with
+    each one the nested expressions would be written out again in full. Going through a
+    one-entry array keeps the condition where its columns already are.
+    """
+    return unnest(df, [], F.when(condition, F.array(F.struct(*columns))), "_row").select("_row.*")

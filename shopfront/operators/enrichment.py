@@ -9,7 +9,7 @@ from ..functions import contacts as C
 from ..functions import html as H
 from ..functions import site as T
 from ..functions import urls as U
-from .arrays import unnest, unnest_with_position
+from .arrays import keep, unnest, unnest_with_position
 from .ordered import first_per_key, top_per_key
 
 HTML_TYPES = "(?i)text/html|application/xhtml"
@@ -182,11 +182,12 @@ def social_finds() -> Column:
 
 def socials_of(finds: DataFrame, key: str) -> DataFrame:
     links = unnest(finds, [key], F.col("social_finds"), "f").select(key, "f.value", "f.rank", "f.pos")
-    rows = U.url_identity(links, "value").filter("n_url IS NOT NULL AND (n_is_social OR n_is_hub) AND NOT n_share")
-    rows = rows.withColumn("platform", F.when(F.col("n_is_hub"), "linkinbio").otherwise(F.col("n_platform")))
-    rows = rows.withColumn("account", F.coalesce("n_handle", F.lower("n_url")))
-    best = first_per_key(rows.select(key, "platform", "account", F.col("n_url").alias("url"), F.col("n_handle").alias("handle"), "rank", "pos"),
-                         [key, "platform", "account"], [F.col("rank"), F.col("pos")])
+    platform = F.when(F.col("n_is_hub"), "linkinbio").otherwise(F.col("n_platform"))
+    profile = F.col("n_url").isNotNull() & (F.col("n_is_social") | F.col("n_is_hub")) & ~F.col("n_share")
+    rows = keep(U.url_identity(links, "value"), profile, [
+        F.col(key), platform.alias("platform"), F.coalesce("n_handle", F.lower("n_url")).alias("account"), F.col("n_url").alias("url"),
+        F.col("n_handle").alias("handle"), F.col("rank"), F.col("pos")])
+    best = first_per_key(rows, [key, "platform", "account"], [F.col("rank"), F.col("pos")])
     return best.select(key, "platform", "url", "handle")
 
 
@@ -238,9 +239,9 @@ def contact_link_rank(pages: DataFrame, n: int = 3, key: str = "page_id") -> Dat
         .when(raw.startswith("#"), F.concat(origin, F.col("b_path"), F.col("b_query"))).when(raw.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
         .otherwise(F.concat(origin, F.regexp_replace("b_path", "[^/]*$", ""), raw))
     )
-    rows = U.url_parts(rows.withColumn("abs", absolute).filter("abs IS NOT NULL"), "abs", "l_")
+    rows = U.url_parts(rows.withColumn("abs", absolute), "abs", "l_")
     same_origin = (F.col("b_scheme") == F.col("l_scheme")) & (F.col("b_host") == F.col("l_host")) & (F.col("b_port") == F.col("l_port"))
-    rows = rows.filter(same_origin & ~F.col("l_path").rlike("(?i)" + dims.NOT_A_PAGE))
+    page = ~F.col("l_path").rlike("(?i)" + dims.NOT_A_PAGE)
     params = F.filter(F.split(F.regexp_replace("l_query", r"^\?", ""), "&"), lambda p: p != "")
     kept = F.filter(params, lambda p: ~p.rlike("^utm_|^(fbclid|gclid)(=|$)"))
     query = F.when(F.size(kept) == F.size(params), F.col("l_query")).when(F.size(kept) == 0, "").otherwise(F.concat(F.lit("?"), F.array_join(kept, "&")))
@@ -249,8 +250,8 @@ def contact_link_rank(pages: DataFrame, n: int = 3, key: str = "page_id") -> Dat
     by_path, by_text = path.rlike(words), F.coalesce(text.rlike(words), F.lit(False))
     score = (F.when(by_path, 3).otherwise(0) + F.when(by_text, 2).otherwise(0) + F.greatest(F.lit(0), 2 - depth)
              + F.when(path.rlike("(?i)^/?contact"), 2).otherwise(0))
-    rows = rows.filter(by_path | by_text).select(
-        key, F.concat(F.col("l_scheme"), F.lit("://"), F.col("l_host"), F.col("l_port"), path, query).alias("href"), score.alias("score"), "pos")
+    href = F.concat(F.col("l_scheme"), F.lit("://"), F.col("l_host"), F.col("l_port"), path, query)
+    rows = keep(rows, same_origin & page & (by_path | by_text), [F.col(key), href.alias("href"), score.alias("score"), F.col("pos")])
     best = rows.groupBy(key, "href").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))
     return top_per_key(best, [key], [F.col("score").desc(), F.col("pos")], n).select(key, "href", "score", "pos")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import contacts as C
 from ..functions import urls as U
-from .arrays import unnest, unnest_with_position
+from .arrays import keep, unnest, unnest_with_position
 from .ordered import first_per_key, insert_new
 
 ELEMENT = ("struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,"
@@ -106,8 +106,8 @@ def socials(pois: DataFrame) -> DataFrame:
     """(osm_key, platform, url, handle) of every social tag value that is a web address."""
     rows = unnest(pois, [osm_key().alias("osm_key")], social_values(), "s")
     rows = U.url_identity(rows.select("osm_key", "s.platform", "s.raw"), "raw")
-    return rows.filter(F.col("n_url").isNotNull()).select(
-        "osm_key", "platform", F.col("n_url").alias("url"), F.col("n_handle").alias("handle"))
+    return keep(rows, F.col("n_url").isNotNull(), [
+        F.col("osm_key"), F.col("platform"), F.col("n_url").alias("url"), F.col("n_handle").alias("handle")])
 
 
 def category() -> dict[str, Column]:
@@ -248,8 +248,8 @@ def insert_emails(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def all_socials(pois: DataFrame) -> DataFrame:
     """Social tags plus a social address given as the website, as (osm_key, platform, url, handle)."""
-    as_site = pois.filter(F.col("n_url").isNotNull() & F.col("n_platform").isNotNull()).select(
-        "osm_key", F.col("n_platform").alias("platform"), F.col("n_url").alias("url"), F.col("n_handle").alias("handle"))
+    as_site = keep(pois, F.col("n_url").isNotNull() & F.col("n_platform").isNotNull(), [
+        F.col("osm_key"), F.col("n_platform").alias("platform"), F.col("n_url").alias("url"), F.col("n_handle").alias("handle")])
     return socials(pois).unionByName(as_site)
 
 
