@@ -11,6 +11,7 @@ from shopfront.llm.common import table, written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("near_duplicates", stages.near_duplicates),
     ("decontamination", stages.decontamination),
     ("byte_bpe", stages.byte_bpe),
 ]

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe as bpe
-from . import decontaminate
+from . import decontaminate, near_dup
 from .common import table
 
 
@@ -16,6 +16,11 @@ def with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays; documents without words are copies of nothing."""
+    return near_dup.deduplicate(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut from the texts; a document that held nothing else goes."""
     return with_length(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")))
