@@ -11,8 +11,10 @@ from shopfront.llm.common import table, written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", stages.toxicity),
     ("near_duplicates", stages.near_duplicates),
     ("decontamination", stages.decontamination),
+    ("secrets", stages.secrets),
     ("byte_bpe", stages.byte_bpe),
 ]
 

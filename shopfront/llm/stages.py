@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe as bpe
 from . import decontaminate, near_dup
+from . import secrets as secret_scan
+from . import toxicity as toxic_text
 from .common import table
 
 
@@ -16,6 +18,11 @@ def with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic go."""
+    return toxic_text.reject(docs, toxic_text.train(docs, table(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays; documents without words are copies of nothing."""
     return near_dup.deduplicate(docs)
@@ -26,6 +33,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return with_length(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")))
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return with_length(secret_scan.mask(docs))
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digests that show that they decode to it."""
     return bpe.round_trip(docs)
