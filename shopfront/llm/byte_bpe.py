@@ -17,7 +17,9 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from .common import text_key
 #: Characters of a chunk, and how far it reaches into the next.
 CHUNK = 32768
 OVERLAP = 2048
+#: Text that Python holds as ids at a time.
+TEXT_BYTES = 1 << 20
 
 
 def vocabulary_path() -> str:
@@ -99,9 +103,25 @@ def stitches(chunks: list[dict], step: int) -> list[tuple[int, int, int]] | None
     return out
 
 
+def small_batches(batches, column: str, most: int):
+    """The rows in batches whose column holds about `most` bytes; what Python makes of them stays small."""
+    for batch in batches:
+        lo, held = 0, 0
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)) if column == "text" else pa.compute.list_value_length(batch.column(column)), 0).to_pylist()
+        for i, size in enumerate(sizes):
+            if held and held + size > most:
+                yield batch.slice(lo, i - lo)
+                lo, held = i, 0
+            held += size
+        if lo < batch.num_rows:
+            yield batch.slice(lo)
+
+
 def encoded_column(texts: pa.Array, path: str) -> pa.Array:
     enc = encoder(path)
-    return pa.array([enc.encode_ordinary(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))
+    ids = [np.array(enc.encode_ordinary(t) if t else [], np.int32) for t in texts.to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -111,7 +131,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def encode_rows(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "text", TEXT_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), encoded_column(batch.column(1), path)], ["id", "ids"])
 
     short = rows.filter(F.length("text") <= chunk).mapInArrow(encode_rows, f"id {kind}, ids array<int>")
@@ -122,7 +142,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     cut = texts.select("key", count.alias("chunks"), F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.col("text").substr(i * chunk + 1, F.lit(chunk + overlap)))).alias("chunk", "text"))
 
     def pre_tokenise(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "text", TEXT_BYTES):
             heads, tails = [], []
             for i, n, text in zip(batch.column("chunk").to_pylist(), batch.column("chunks").to_pylist(), batch.column("text").to_pylist()):
                 ends = boundaries(text, i + 1 == n)
@@ -146,7 +166,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     pieces = marks.groupBy("key").applyInPandas(stitch, "key binary, piece int, begin bigint, end bigint")
 
     def encode_pieces(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "text", TEXT_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("piece"), encoded_column(batch.column("text"), path)], ["key", "piece", "ids"])
 
     begin, end = F.col("begin") - F.col("piece") * chunk, F.when(F.col("end") < 0, F.lit(chunk + overlap)).otherwise(F.col("end") - F.col("piece") * chunk)
@@ -166,11 +186,11 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", path: str | None = Non
 
     def decode_rows(batches):
         table = token_bytes(path)
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            raw = [b"".join([table[i] for i in row or ()]) for row in ids]
-            digests = [hashlib.sha256(pa.array(row or [], pa.uint32()).to_numpy().astype("<u4").tobytes()).hexdigest() for row in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary()), pa.array([len(r or ()) for r in ids], pa.int64()), pa.array(digests, pa.string())], ["id", "bytes", "n_tokens", "ids_sha256"])
+        for batch in small_batches(batches, "ids", TEXT_BYTES // 4):
+            rows = [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in batch.column("ids")]
+            raw = [b"".join([table[i] for i in row.tolist()]) for row in rows]
+            digests = [hashlib.sha256(row.astype("<u4").tobytes()).hexdigest() for row in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary()), pa.array([len(r) for r in rows], pa.int64()), pa.array(digests, pa.string())], ["id", "bytes", "n_tokens", "ids_sha256"])
 
     rows = encoded.select(F.col(id_col).alias("id"), "ids")
     return rows.mapInArrow(decode_rows, f"id {kind}, bytes binary, n_tokens bigint, ids_sha256 string").withColumnRenamed("id", id_col)
