@@ -3,13 +3,15 @@
 Documents with equal shingle sets form a class; only classes are compared. A class is posted under the value of
 each of its `COORDINATES` MinHash coordinates. Two sets as alike as asked for agree in at least
 `LEAST` coordinates, but for a chance below 1e-6 per pair (at similarity 0.75; it falls fast above). So values that one class alone has
-are dropped, and with them classes left with fewer than LEAST; the rest are kept under their rarest values only, the prefix. Classes
-that agree in LEAST coordinates meet at least `MEET` times in the prefixes.
+are dropped, and with them classes left with fewer than LEAST; the rest are kept under their rarest values only, the prefix, in which classes
+that agree in LEAST coordinates meet at least once.
 
 Long posting lists are not paired out. First each class is compared with one class, the pivot, that it shares
-most of its lists with; confirmed links join classes, and lists whose classes are joined already are done. This
-is repeated while lists would still give many pairs. Then all pairs left between different components are counted, those with enough collisions
-in prefix and signature are kept, and every link is confirmed on the full sets. A link inside a component changes no result, so none that matters is lost.
+most of its lists with; a list's pivot is its most central class, the one whose coordinate values most classes have. Confirmed links join
+classes, and lists whose classes are joined are done. Later rounds take other members of a list's main component as pivots. Then the classes of lists still open are paired
+across components, as far as they share one of the shingles among which any two sets so alike must meet (the rarest quarter of each) and
+differ in few enough bits of a longer sketch; pairs that agree in enough coordinates are kept, and every link is confirmed
+on the full sets. A link inside a component changes no result, so none that matters is lost.
 
 Defined results. Null or empty text, or text without words: no shingles, component of its own, kept. With fewer words than a shingle the
 whole sequence is one. Repeated rows are copies of each other. A null id is larger than any id: a component takes the smallest
@@ -34,18 +36,19 @@ PERCENT = 75
 #: Signature length, and the agreement below which a pair is not looked at: P(Binomial(48, 0.75) < 20) = 2e-7.
 COORDINATES = 48
 LEAST = 20
-#: Collisions asked for in the prefixes, which are so much longer than for one.
-MEET = 2
-PREFIX = COORDINATES - LEAST + MEET
-#: Pivots are used again while lists would give more than so many pairs per posting.
-PAIRS = 4
-ROUNDS = 6
+PREFIX = COORDINATES - LEAST + 1
+#: Bits of the sketch, each from a MinHash value of its own, and by how many links may differ: P(Binomial(512, 0.125) > 106) = 1e-7.
+SKETCH = 512
+DIFFER = 106
+#: Rounds of pivots.
+ROUNDS = 2
 #: Stands for a null id.
 NO_ID = (1 << 63) - 1
 
 _RANDOM = np.random.default_rng(50)
 _FACTORS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_SKETCH_FACTORS = _RANDOM.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 PREPARED = "id bigint, text_key binary, n_shingles bigint, class binary, signature array<bigint>"
 
@@ -62,6 +65,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return mix(out + _TERMS * np.uint64(3)).view(np.int64)
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of SKETCH / 64 longs per set; no set is empty."""
+    bits = np.zeros((len(sets), SKETCH), np.uint8)
+    values = np.concatenate(sets)
+    begins = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    for k in range(SKETCH):
+        bits[:, k] = mix(np.minimum.reduceat(values * _SKETCH_FACTORS[k], begins)) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """PREPARED, one row per document."""
 
@@ -84,13 +97,14 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
-    """(key, node): the postings under which classes that may have a partner are kept."""
-    postings = classes.select("node", F.explode("signature").alias("key"))
+    """(key, node, n, central): the postings under which classes that may have a partner are kept."""
+    postings = classes.select("node", "n", F.explode("signature").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("posted")).filter("posted > 1")
-    listed = postings.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("posted", "key"))).alias("listed"))
+    listed = postings.join(shared, "key").groupBy("node", "n").agg(F.sum("posted").alias("central"), F.array_sort(F.collect_list(F.struct("posted", "key"))).alias("listed"))
     # up to COORDINATES values per class, the rarest first; without those that no other class has, the prefix is as much shorter
     spare = COORDINATES - F.size("listed")
-    return listed.filter(F.size("listed") >= LEAST).select("node", F.explode(F.slice("listed", F.lit(1), F.greatest(F.lit(1), F.lit(PREFIX) - spare))).alias("p")).select("p.key", "node")
+    kept = F.slice("listed", F.lit(1), F.greatest(F.lit(1), F.lit(PREFIX) - spare))
+    return listed.filter(F.size("listed") >= LEAST).select("node", "n", "central", F.explode(kept).alias("p")).select("p.key", "node", "n", "central")
 
 
 def shingle_tables(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,44 +138,70 @@ def size_fits(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def links(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, label) of the nodes that are linked with others. lists: (key, node, n)."""
-    found, labels = None, None
+def open_lists(state: DataFrame, key: str) -> DataFrame:
+    """(key, main): the lists that hold several components, and the component that most of their classes are in."""
+    parts = state.groupBy(key, "label").agg(F.count("*").alias("part"))
+    return parts.groupBy(key).agg(F.max_by("label", F.struct("part", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select(key, "main")
+
+
+def pivot_pairs(state: DataFrame, round_: int) -> DataFrame:
+    """Pairs (u, v) of a class and the pivot of another component that it shares most lists with."""
+    central = F.col("central") if round_ == 0 else F.xxhash64("node", F.lit(round_))
+    pivots = state.groupBy("key").agg(F.max_by(F.struct("node", "label", "n"), F.struct(F.col("label") == F.col("main"), central, "node") if round_ else F.struct(central, "node")).alias("p"))
+    met = state.select("key", "node", "n", "label").join(pivots, "key").filter((F.col("label") != F.col("p.label")) & size_fits("n", "p.n"))
+    met = met.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("times"))
+    return met.groupBy("node").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot")).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+
+
+def pairs_across(state: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components among the classes of open lists that can be links: they share one of their rarest
+    shingles and agree in enough coordinates."""
+    longs = [f"s{i}" for i in range(SKETCH // 64)]
+
+    def sketch_rows(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # rows whose values are in memory at once
+                part = batch.slice(at, 64)
+                rows = sketches([np.asarray(x.values).view(np.uint64) for x in part.column("shingles")])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "label", "n")), *(pa.array(rows[:, i].copy()) for i in range(len(longs)))], ["node", "label", "n", *longs])
+
+    nodes = state.select("node", "label", "n").distinct().join(sets, "node")
+    sketched = nodes.select("node", "label", "n", "shingles").mapInArrow(sketch_rows, "node bigint, label bigint, n bigint, " + ", ".join(f"{c} bigint" for c in longs))
+    held = nodes.select("node", "n", "label", F.explode("shingles").alias("shingle"))
+    holders = held.groupBy("shingle").agg(F.count("*").alias("posted"), (F.min("label") != F.max("label")).alias("across"))
+    ordered = held.join(holders, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("posted", "shingle", "across"))).alias("ordered"))
+    # any set so alike has one of the first n - ceil(PERCENT * n) + 1
+    first = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
+    rare = ordered.select("node", F.explode(F.filter(first, lambda s: s["across"])).alias("s")).select("s.shingle", "node")
+    rare = written(rare.join(sketched, "node"), "rare-shingles")
+    rare = rare.join(open_lists(rare, "shingle"), "shingle")
+    left = rare.filter("label != main").select("shingle", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), *[F.col(c).alias(f"u{c}") for c in longs])
+    right = rare.select("shingle", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), (F.col("label") == F.col("main")).alias("of_main"), *[F.col(c).alias(f"v{c}") for c in longs])
+    differ = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in longs), F.lit(0))
+    met = left.join(right, "shingle").filter((F.col("lu") != F.col("lv")) & (F.col("of_main") | (F.col("u") < F.col("v"))) & size_fits("nu", "nv") & (differ <= DIFFER))
+    met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sign = classes.select("node", "signature")
+    equal = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return met.join(sign.select(F.col("node").alias("u"), F.col("signature").alias("a")), "u").join(sign.select(F.col("node").alias("v"), F.col("signature").alias("b")), "v").filter(equal >= LEAST).select("u", "v")
+
+
+def links(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(node, label) of the classes that are linked with others, None without any. lists: (key, node, n, central)."""
+    state, found = lists.withColumn("label", F.col("node")), None
     for round_ in range(ROUNDS + 1):
-        state = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        state = written(state.select("key", "node", "n", "label"), "postings")
-        parts = state.groupBy("key", "label").agg(F.count("*").alias("part"))
-        open_ = parts.groupBy("key").agg(F.sum("part").alias("all"), F.max_by("label", F.struct("part", "label")).alias("main"), F.max("part").alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-        open_ = written(open_.select("key", "all", "main", "most"), "open-lists")
-        weight = open_.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        if not weight:
+        state = written(state.join(open_lists(state, "key"), "key"), "open-lists")
+        if state.isEmpty():
             break
-        still = state.join(open_, "key")
-        if round_ < ROUNDS and (round_ == 0 or weight > PAIRS * lists.count()):
-            # another pivot in each round, preferably of the list's main component
-            order = F.struct((F.col("label") != F.col("main")).alias("aside"), F.xxhash64("node", F.lit(round_)).alias("order"), "node", "label", "n")
-            pivots = still.groupBy("key").agg(F.min(order).alias("p"))
-            met = still.select("key", "node", "n", "label").join(pivots, "key").filter((F.col("label") != F.col("p.label")) & size_fits("n", "p.n"))
-            met = met.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("times"))
-            pairs = met.groupBy("node").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot")).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-            last = False
-        else:
-            left = still.filter("label != main").select("key", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"))
-            right = still.select("key", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), (F.col("label") == F.col("main")).alias("of_main"))
-            met = left.join(right, "key").filter((F.col("lu") != F.col("lv")) & (F.col("of_main") | (F.col("u") < F.col("v"))) & size_fits("nu", "nv"))
-            # a pair may be met with u and v either way round in different lists
-            met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").agg(F.count("*").alias("times")).filter(F.col("times") >= MEET)
-            sign = classes.select("node", "signature")
-            equal = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-            pairs = met.join(sign.select(F.col("node").alias("u"), F.col("signature").alias("a")), "u").join(sign.select(F.col("node").alias("v"), F.col("signature").alias("b")), "v").filter(equal >= LEAST).select("u", "v")
-            last = True
-        new = written(confirmed(pairs, sets), "links")
-        # labels so far are links as well
-        found = new if labels is None else new.unionByName(labels.filter("node != label").select(F.col("node").alias("u"), F.col("label").alias("v")))
-        labels = written(components(found), "labels")
-        if last:
+        pairs = pivot_pairs(state, round_) if round_ < ROUNDS else pairs_across(state, classes, sets)
+        new = confirmed(pairs, sets)
+        new = written(new if found is None else new.unionByName(found), "links")
+        if new.isEmpty():
             break
-    return labels
+        labels = components(new)
+        # stars stand for all links so far
+        found = labels.filter("node != label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+        state = state.drop("label", "main").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return None if found is None else found.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -170,7 +210,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     grouped = prepared.filter("n_shingles > 0").groupBy("class").agg(
         F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text_key")).alias("first"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "class", "first.id", "first.text_key", "n", "signature"), "classes")
-    lists = written(prefixes(classes).join(classes.select("node", "n"), "node").select("key", "node", "n"), "prefixes")
+    lists = written(prefixes(classes), "prefixes")
     members = classes.join(lists.select("node").distinct(), "node").select("node", "id", "text_key")
     sets = written(shingle_tables(docs, members, id_col, text_col), "shingles")
     labels = links(lists, classes, sets)
