@@ -26,6 +26,9 @@ NAMED = 64
 #: Vectors in a block, and queries in a block of queries.
 BLOCK = 2048
 QUERY_BLOCK = 512
+#: Blocks of queries that are kept in mind together, and groups that the blocks of vectors are dealt into.
+GROUPED = 16
+VECTOR_GROUPS = 8
 #: Share of a block's entries that are reranked for a query, and the least number of them.
 RERANKED = 0.15
 LEAST = 256
@@ -107,14 +110,16 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     named = min(named, max(1, len(p)))
     data = written(packed(rows, block, p, top, named, False), "vector-blocks")
     asked = written(packed(rows.filter(F.pmod("id", F.lit(every)) == 0), query_block, p, top, named, True), "query-blocks")
-    # every block of queries with every block of vectors, dealt out by number
-    groups = max(1, data.count())
-    numbered = data.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    copies = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "ranks")], F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("group"))
-    pairs = copies.join(numbered, "group")
+    # every block of queries meets every block of vectors, in cells of a group of each; a cell keeps the best of its queries
+    query_groups = max(1, -(-asked.count() // GROUPED))
+    group = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vectors", "ranks")], F.pmod(F.xxhash64("block"), F.lit(query_groups)).cast("int").alias("query_group"), group(VECTOR_GROUPS).alias("vector_group"))
+    right = data.select("block", "ids", "vectors", "ranks", F.pmod(F.xxhash64("block"), F.lit(VECTOR_GROUPS)).cast("int").alias("vector_group"), group(query_groups).alias("query_group"))
+    pairs = left.join(right, ["query_group", "vector_group"])
 
     def compare(batches):
         last, files = None, None
+        best: dict[int, list[tuple[int, float]]] = {}
         for batch in batches:
             for b, ids, x, ranks, q_ids, q_x, q_ranks in zip(*(batch.column(c) for c in ("block", "ids", "vectors", "ranks", "q_ids", "q_vectors", "q_ranks"))):
                 n = np.frombuffer(ids.as_py(), np.int64)
@@ -123,8 +128,11 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
                     last = b.as_py()
                 q = np.frombuffer(q_ids.as_py(), np.int64)
                 q_vectors, q_r = np.frombuffer(q_x.as_py()).reshape(len(q), -1), np.frombuffer(q_ranks.as_py(), np.uint8).reshape(len(q), -1)
-                found = [(int(q[i]), *f) for i in range(len(q)) for f in files.search(q_vectors[i], q_r[i], int(q[i]), results, share, least)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["query_id", "vec_id", "score"])
+                for i, own in enumerate(q.tolist()):
+                    found = files.search(q_vectors[i], q_r[i], own, results, share, least)
+                    best[own] = sorted([*best.get(own, ()), *found], key=lambda f: (-f[1], f[0]))[:results]
+        rows = [(own, *f) for own, found in best.items() for f in found]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in rows], pa.int64()), pa.array([f[1] for f in rows], pa.int64()), pa.array([f[2] for f in rows], pa.float64())], ["query_id", "vec_id", "score"])
 
     found = pairs.select("block", "ids", "vectors", "ranks", "q_ids", "q_vectors", "q_ranks").mapInArrow(compare, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
