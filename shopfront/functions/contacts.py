@@ -206,12 +206,13 @@ def _written_counts(html: Column) -> dict[str, list[Column]]:
 WALL_LIMITS = {"youtube": 20000, "tiktok": 30000, "facebook": 60000, "instagram": 2147483647}
 
 
-def add_followers(df: DataFrame, platform: str, html: str, out: str = "f") -> DataFrame:
+def add_followers(df: DataFrame, platform: str, html: str, out: str = "f", wall_limits: dict[str, int] | None = WALL_LIMITS) -> DataFrame:
     """Adds a struct (followers, state, reason, has_video) read from a saved profile page.
 
     The places a count may be written become one array per platform, read as numbers once;
     the first that is a number wins. A page that shows a login wall instead counts as
-    blocked while it is short. Other platforms are unsupported.
+    blocked while it is shorter than the platform's wall limit, or at any length where wall_limits
+    is None. Other platforms are unsupported.
     """
     kind, page = F.col(platform), F.col(html)
     by_kind = lambda mapping: lookup(kind, mapping, None)
@@ -224,8 +225,8 @@ def add_followers(df: DataFrame, platform: str, html: str, out: str = "f") -> Da
     size = F.length(page)
     df = df.withColumns({
         "_total": F.coalesce("_count", plays),
-        "_captcha": (kind == "tiktok") & page.rlike("(?i)" + dims.CAPTCHA_WALL) & (size < 20000),
-        "_wall": page.rlike("(?i)" + dims.LOGIN_WALL) & (size < by_kind(WALL_LIMITS)),
+        "_captcha": (kind == "tiktok") & page.rlike("(?i)" + dims.CAPTCHA_WALL) & ((size < 20000) if wall_limits else F.lit(True)),
+        "_wall": page.rlike("(?i)" + dims.LOGIN_WALL) & ((size < by_kind(wall_limits)) if wall_limits else F.lit(True)),
     })
     known, supported = F.col("_total").isNotNull(), kind.isin(list(WALL_LIMITS))
     blocked = F.coalesce(F.col("_captcha") | F.col("_wall"), F.lit(False))

@@ -9,16 +9,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-             ("&#64;", "@"), ("&commat;", "@"), ("&#46;", "."), ("&period;", "."), ("&amp;", "&")]
+_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&commat;", "@"), ("&period;", "."), ("&amp;", "&")]
+_NUMBERED = r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"
 _QUOTED = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-HREF = r"(?is)<a\s[^>]*?\bhref\s*=\s*" + _QUOTED
+HREF = r"(?is)<a(?=\s)[^>]*?\shref\s*=\s*" + _QUOTED
 ANCHOR = HREF + r"[^>]*>(.*?)</a\s*>"
-LD_JSON = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script"""
+LD_JSON = r"""(?is)<script\b[^>]*\stype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script"""
 JSON_STRING = r'"((?:[^"\\]|\\.)*)"'
 
 
+def character(number: Column) -> Column:
+    """The character of a code point; U+FFFD where there is none."""
+    octet = lambda n: F.lpad(F.hex(n.cast("bigint")), 2, "0")
+    shifted = lambda bits: F.shiftright(number, bits)
+    tail = lambda bits: octet(shifted(bits).bitwiseAND(63) + 128)
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    code = (F.when(~F.coalesce(valid, F.lit(False)), "EFBFBD").when(number < 0x80, octet(number)).when(number < 0x800, F.concat(octet(shifted(6) + 192), tail(0)))
+            .when(number < 0x10000, F.concat(octet(shifted(12) + 224), tail(6), tail(0)))
+            .otherwise(F.concat(octet(shifted(18) + 240), tail(12), tail(6), tail(0))))
+    return F.decode(F.unhex(code), "UTF-8")
+
+
+def replaced(col: Column, pattern: str, by) -> Column:
+    """Every match of the pattern replaced by what `by` makes of it, in one pass; text without a match is not touched."""
+    pieces, found = F.split(col, pattern, -1), F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
+    joined = F.array_join(F.zip_with(pieces, found, lambda p, m: F.concat(p, F.coalesce(by(m), F.lit("")))), "")
+    return F.when(col.rlike(pattern), joined).otherwise(col)
+
+
+def decode_numbered(col: Column) -> Column:
+    """Numeric character references, decimal and hexadecimal, of any code point."""
+    number = lambda m: F.when(m.rlike("(?i)^&#x"), F.conv(F.regexp_extract(m, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(m, "([0-9]+);", 1))
+    return replaced(col, _NUMBERED, lambda m: F.when(m.isNotNull(), character(number(m).cast("bigint"))))
+
+
 def decode_entities(col: Column) -> Column:
+    col = decode_numbered(col)
     for entity, char in _ENTITIES:
         col = F.replace(col, F.lit(entity), F.lit(char))
     return col
@@ -44,14 +70,14 @@ def hrefs(html: Column) -> Column:
 
 def anchors(html: Column) -> Column:
     """Array of (href, text) of the page's links."""
-    clean = lambda c: F.substring(F.trim(F.regexp_replace(strip_tags(c), r"\s+", " ")), 1, 80)
+    clean = lambda c: F.trim(F.regexp_replace(strip_tags(c), r"\s+", " "))
     whole = F.regexp_extract_all(html, F.lit(ANCHOR), 0)
     return F.transform(whole, lambda a: F.struct(
         unquote(F.regexp_extract(a, HREF, 1)).alias("href"), clean(F.regexp_extract(a, ANCHOR, 2)).alias("text")))
 
 
 def attribute_values(html: Column, name: str) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)\b" + name + r"\s*=\s*" + _QUOTED), 1), unquote)
+    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)\s" + name + r"\s*=\s*" + _QUOTED), 1), unquote)
 
 
 def ld_json(html: Column) -> Column:
@@ -60,7 +86,8 @@ def ld_json(html: Column) -> Column:
 
 
 def json_unescape(col: Column) -> Column:
-    return F.regexp_replace(col, r"\\(.)", "$1")
+    """The value of a JSON string literal without its quotes, read by the JSON parser."""
+    return F.coalesce(F.get_json_object(F.concat(F.lit('{"v":"'), col, F.lit('"}')), "$.v"), col)
 
 
 def ld_strings(html: Column, keys: str) -> Column:

@@ -34,8 +34,8 @@ def site_platform(lower: Column, server: Column) -> Column:
 
 
 def site_title(html: Column) -> Column:
-    title = F.regexp_extract(html, r"(?i)<title[^>]*>([\s\S]{0,300}?)</title>", 1)
-    return F.nullif(F.substring(F.trim(F.regexp_replace(title, r"\s+", " ")), 1, 200), F.lit(""))
+    title = F.regexp_extract(html, r"(?i)<title[^>]*>([\s\S]*?)</title>", 1)
+    return F.nullif(F.trim(F.regexp_replace(title, r"\s+", " ")), F.lit(""))
 
 
 def has_video(lower: Column) -> Column:

@@ -264,14 +264,15 @@ def guessed_urls(sites: DataFrame, key: str = "business_id") -> DataFrame:
 
 
 def frontier_union(homepages: DataFrame, ranked: DataFrame, guessed: DataFrame, sitemap: DataFrame, key: str = "business_id", budget: int = 4) -> DataFrame:
-    """(business, url, ordinal): homepage, ranked links, guesses, sitemap pages; each URL once.
+    """(business, url, ordinal): homepage, ranked links, guesses, sitemap pages that name a contact word; each URL once.
 
     Links and guesses together are at most `budget`, the sitemap adds at most two, so the
     candidates of one business are few and the later windows over them are small.
     """
     part = lambda df, src: df.select(key, F.lit(src).alias("src"), "pos", "url")
     links = top_per_key(part(ranked, 1).unionByName(part(guessed, 2)), [key], [F.col("src"), F.col("pos")], budget)
-    pages = top_per_key(part(sitemap, 3), [key], [F.col("pos")], 2)
+    named = sitemap.filter(F.col("url").rlike("(?i)" + dims.SITEMAP_WORDS))
+    pages = top_per_key(part(named, 3), [key], [F.col("pos")], 2)
     every = part(homepages.withColumn("pos", F.lit(0)), 0).unionByName(links).unionByName(pages)
     once = first_per_key(every, [key, "url"], [F.col("src"), F.col("pos")])
     ordinal = F.row_number().over(Window.partitionBy(key).orderBy("src", "pos")) - 1

@@ -115,7 +115,7 @@ def category() -> dict[str, Column]:
     out_key = out_label = None
     for cat, label, sels in dims.CATEGORIES:
         for key, values in sels:
-            hit = F.trim(F.substring_index(tag(key), ";", 1)).isin(values.split())
+            hit = F.trim(F.substring_index(tag(key), ";", 1)).isin(values)
             out_key = F.when(hit, cat) if out_key is None else out_key.when(hit, cat)
             out_label = F.when(hit, label) if out_label is None else out_label.when(hit, label)
     return {"category": out_key.otherwise("other"), "category_label": out_label.otherwise("Other")}
@@ -174,13 +174,13 @@ def merged_selectors(selectors: DataFrame) -> DataFrame:
 
 
 def scan(pois: DataFrame, categories: list[str], bbox: tuple[float, float, float, float], keyword: str | None = None,
-         cap: int = dims.ELEMENT_CAP) -> DataFrame:
-    """POIs of a category scope inside a box (south, west, north, east), at most `cap` by key."""
+         ) -> DataFrame:
+    """All POIs of a category scope inside a box (south, west, north, east)."""
     values: dict[str, set[str]] = {}
     scope = category_scope(categories)
     for cat, _, sels in dims.CATEGORIES:
         for key, names in sels if cat in scope else []:
-            values.setdefault(key, set()).update(names.split())
+            values.setdefault(key, set()).update(names)
     hit = F.lit(False)
     for key, names in values.items():
         hit = hit | F.coalesce(tag(key).isin(sorted(names)), F.lit(False))
@@ -189,7 +189,7 @@ def scan(pois: DataFrame, categories: list[str], bbox: tuple[float, float, float
     df = df.filter(F.col("lat").between(south, north) & F.col("lon").between(west, east))
     if keyword and keyword.strip():
         df = df.filter(tag("name").rlike("(?i)" + keyword.strip().replace('"', "").replace("\\", "")))
-    return df.withColumn("osm_key", osm_key()).orderBy("osm_key").limit(cap)
+    return df.withColumn("osm_key", osm_key())
 
 
 # ------------------------------------------------------------- upserts
@@ -199,12 +199,23 @@ KEEP_OLD = ["osm_type", "street", "house_number", "phone_raw", "website_url", "w
             "pipeline_stage"]
 
 
-def upsert(old: DataFrame, new: DataFrame, now: str) -> DataFrame:
+def last_seen(pois: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """One row per osm_key: the last in the given order, such as document and position. Without an order any one, but always the same."""
+    rest = [c for c in pois.columns if c != "osm_key"]
+    row = F.struct(*rest)
+    best = pois.groupBy("osm_key").agg(F.max_by(row, F.struct(*(order or []), F.xxhash64(F.to_json(row)))).alias("_row"))
+    return best.select("osm_key", *(F.col(f"_row.{c}").alias(c) for c in rest)).select(*pois.columns)
+
+
+def upsert(old: DataFrame, new: DataFrame, now: str, order: list[Column] | None = None) -> DataFrame:
     """New snapshot of the business table from the old one and normalised POIs, with is_new.
 
+    A POI given several times (overlapping tiles, repeated runs) counts once, as last seen by `order`.
+
     A full outer join on osm_key; each column says whether the new value, the new value
     if there is one, or the old value wins. Columns missing on a side count as NULL.
     """
+    new = last_seen(new, order)
     o, n = old.alias("o"), new.alias("n")
     have = lambda side, frame, c: F.col(f"{side}.{c}") if c in frame.columns else F.lit(None)
     was_there, comes = F.col("o.osm_key").isNotNull(), F.col("n.osm_key").isNotNull()
@@ -253,14 +264,17 @@ def all_socials(pois: DataFrame) -> DataFrame:
     return socials(pois).unionByName(as_site)
 
 
-def upsert_socials(old: DataFrame, new: DataFrame, key: str = "osm_key") -> DataFrame:
+def upsert_socials(old: DataFrame, new: DataFrame, key: str = "osm_key", order: list[Column] | None = None) -> DataFrame:
     """Old accounts with the URL overwritten and a missing handle filled; unseen accounts added.
 
     The account key is (business, platform, handle or lower-cased URL). Follower columns stay.
     """
     keys = [key, "platform", "handle_normalized"]
+    # the last row by `order` gives both values; without an order the greatest
+    account = F.struct("url", "handle")
     fresh = new.withColumn("handle_normalized", F.coalesce("handle", F.lower("url"))).groupBy(*keys).agg(
-        F.max("url").alias("new_url"), F.max("handle").alias("new_handle"))
+        F.max_by(account, F.struct(*(order or []), account)).alias("_last"))
+    fresh = fresh.select(*keys, F.col("_last.url").alias("new_url"), F.col("_last.handle").alias("new_handle"))
     joined = old.join(fresh, keys, "full_outer")
     rest = [c for c in old.columns if c not in [*keys, "url", "handle", "followers_state"]]
     return joined.select(

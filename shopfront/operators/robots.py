@@ -4,8 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BODY = 512 * 1024
-
 
 def robots_state(df: DataFrame) -> DataFrame:
     """Adds state and disallow_all to robots fetches (status, NULL on a network error)."""
@@ -18,9 +16,9 @@ def robots_rules(files: DataFrame) -> DataFrame:
     """(domain, line, grp, kind, value, delay_ms) of robots files.
 
     kind is agent, allow, disallow, delay or sitemap; grp 0 is before any agent line. There is
-    one file per domain and a file is at most 512 KiB, so a window over its lines is bounded.
+    one file per domain, so a window over its lines is as large as the file.
     """
-    lines = files.select("domain", F.posexplode(F.split(F.substring("body", 1, MAX_BODY), r"\r?\n")).alias("line", "raw"))
+    lines = files.select("domain", F.posexplode(F.split("body", r"\r?\n")).alias("line", "raw"))
     text = F.trim(F.regexp_extract("raw", "^([^#]*)", 1))
     rows = lines.withColumn("text", text).filter(F.col("text").contains(":")).select(
         "domain", "line", F.lower(F.trim(F.substring_index("text", ":", 1))).alias("field"),
@@ -76,12 +74,13 @@ def robots_decision(urls: DataFrame, rules: DataFrame, token: str) -> DataFrame:
     deny = F.col("kind") == "disallow"
     packed = paths.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("size")).alias("o"), deny.alias("deny"),
-        F.when(deny, F.col("line")).otherwise(-F.col("line")).alias("at"), "value", "re"))).alias("rules"))
+        F.when(deny, F.col("line")).otherwise(-F.col("line")).alias("at"), "value", "re", (~F.col("value").rlike(r"[*]|\$$")).alias("plain")))).alias("rules"))
     delays = applied.filter("kind = 'delay'").groupBy("domain").agg(F.min_by("delay_ms", F.struct("grp", -F.col("line"))).alias("delay_ms"))
     df = urls.join(packed, "domain", "left").join(delays, "domain", "left")
     target = F.when(F.coalesce(F.col("path"), F.lit("")) == "", "/").otherwise(F.col("path"))
     df = df.withColumn("_path", target)
-    hit = F.get(F.filter("rules", lambda r: F.regexp(F.col("_path"), r["re"])), F.lit(0))
+    # most rules are plain prefixes; only those with * or a final $ need an expression
+    hit = F.get(F.filter("rules", lambda r: F.when(r["plain"], F.startswith(F.col("_path"), r["value"])).otherwise(F.regexp(F.col("_path"), r["re"]))), F.lit(0))
     df = df.withColumn("_hit", hit)
     return df.withColumns({"allowed": F.coalesce(~F.col("_hit.deny"), F.lit(True)), "rule": F.col("_hit.value")}).drop("rules", "_hit", "_path")
 
@@ -98,7 +97,7 @@ def frontier_robots(urls: DataFrame, files: DataFrame, token: str) -> DataFrame:
     }).drop("disallow_all")
 
 
-def sitemap_urls(col: Column, limit: int = 200) -> Column:
-    """<loc> addresses of a sitemap, entities decoded, http(s) only, the first `limit`."""
+def sitemap_urls(col: Column) -> Column:
+    """All <loc> addresses of a sitemap, entities decoded, http(s) only."""
     locs = F.transform(F.regexp_extract_all(col, F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), 1), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-    return F.slice(F.filter(locs, lambda u: u.rlike("(?i)^https?://")), 1, limit)
+    return F.filter(locs, lambda u: u.rlike("(?i)^https?://"))

@@ -84,10 +84,10 @@ def week_summary(daily: DataFrame, today: str) -> DataFrame:
 def streak(daily: DataFrame, today: str, by: str | None = None) -> DataFrame:
     """Run of consecutive active days ending today, or yesterday when today is idle.
 
-    Rows are days (at most 401 per key after the filter), so the window groups are small.
+    Rows are days up to today, so the window groups are as long as the history in days.
     """
     keys = [by] if by else []
-    recent = daily.filter(F.col("day").between(F.date_sub(day(today), 400), day(today)))
+    recent = daily.filter(F.col("day") <= day(today))
     active = recent.filter("tasks_done > 0").select(*keys, "day").distinct()
     # the day number from the end is counted without a window when there is only one series
     island = F.date_sub("day", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("day")).cast("int"))

@@ -158,7 +158,7 @@ def identity(src: str, col: str) -> str:
 # ------------------------------------------------------------------ POIs
 multi = lambda e: f"coalesce(list_filter(list_transform(string_split({e}, ';'), lambda v: trim(v)), lambda v: v <> ''), [])"
 _cat_case = lambda field: "CASE " + " ".join(
-    f"WHEN tag_key = '{k}' AND trim(string_split(tag_value, ';')[1]) IN {rlist(v.split())} THEN '{c[field]}'"
+    f"WHEN tag_key = '{k}' AND trim(string_split(tag_value, ';')[1]) IN {rlist(v)} THEN '{c[field]}'"
     for c in dims.CATEGORIES for k, v in c[2]) + f" ELSE '{('other', 'Other')[field]}' END"
 ALIVE = ("coalesce(trim(t_name), '') <> '' AND t_was_shop IS NULL AND (t_disused IS NULL OR lower(trim(t_disused)) IN ('no', 'false', '0'))"
          " AND NOT coalesce(regexp_matches(t_lifecycle, '(?i)disused|abandoned|demolished|construction'), false)")

@@ -216,12 +216,12 @@ SQL_ORDER = {
 }
 
 
-@query("F1_feed_sort", " UNION ALL ".join(f"SELECT * FROM (SELECT '{s}' AS sort, id, score, name FROM or_lead ORDER BY {o} LIMIT 100)"
+@query("F1_feed_sort", " UNION ALL ".join(f"SELECT * FROM (SELECT '{s}' AS sort, id, score, name FROM or_lead)"
                                           for s, o in SQL_ORDER.items()))
 def _(t):
     out, leads = None, t.leads()
     for sort in SQL_ORDER:
-        df = L.feed_sort(leads, sort).select(F.lit(sort).alias("sort"), "id", "score", "name").limit(100)
+        df = L.feed_sort(leads, sort).select(F.lit(sort).alias("sort"), "id", "score", "name")
         out = df if out is None else out.unionByName(df)
     return out
 

@@ -154,8 +154,8 @@ BOX = (51.0, -2.0, 51.05, -1.996)
 
 
 @query("B13_poi_scan", f"""SELECT type || '/' || id AS osm_key FROM fx_poi_cols WHERE t_name IS NOT NULL AND regexp_matches(t_name, '(?i)customer.*cafe')
-  AND lat BETWEEN 51.0 AND 51.05 AND lon BETWEEN -2.0 AND -1.996 AND ((tag_key = 'shop' AND tag_value IN {O.rlist(dims.CATEGORIES[3][2][0][1].split())})
-    OR (tag_key = 'leisure' AND tag_value = 'spa') OR (tag_key = 'tourism' AND tag_value = 'hotel')) ORDER BY osm_key LIMIT 3000""")
+  AND lat BETWEEN 51.0 AND 51.05 AND lon BETWEEN -2.0 AND -1.996 AND ((tag_key = 'shop' AND tag_value IN {O.rlist(dims.CATEGORIES[3][2][0][1])})
+    OR (tag_key = 'leisure' AND tag_value = 'spa') OR (tag_key = 'tourism' AND tag_value = 'hotel'))""")
 def _(t):
     return P.scan(pois(t), ["retail", "hospitality"], BOX, 'customer.*"cafe').select("osm_key")
 

@@ -121,7 +121,7 @@ def _first(col: str, pairs) -> str:
 
 
 _platform = f"CASE{_first('html', dims.SITE_PLATFORMS)}{_first('server', dims.SERVER_PLATFORMS)} END"
-_title = r"nullif(left(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.{0,300}?)</title>', 1), '\s+', ' ', 'g')), 200), '')"
+_title = r"nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '')"
 _video = f"regexp_matches(html, '(?i){'|'.join(dims.VIDEO_MARKERS)}')"
 
 
@@ -187,7 +187,7 @@ def _site(t):
 @query("G3_frontier_union", """WITH s AS (SELECT page_id AS b, url, regexp_extract(url, '^https?://[^/?#]+', 0) AS o FROM fx_page),
   links AS (SELECT * FROM (SELECT b, 1 AS src, 0 AS pos, o || '/contact' AS url FROM s UNION ALL SELECT b, 1, 1, o || '/team' FROM s WHERE b % 2 = 0
     UNION ALL SELECT b, 2, i, o || g FROM s, (VALUES (0, '/contact'), (1, '/contact-us'), (2, '/about'), (3, '/contact.html')) x(i, g)) QUALIFY row_number() OVER (PARTITION BY b ORDER BY src, pos) <= 4),
-  maps AS (SELECT b, 3 AS src, i AS pos, o || '/map' || i AS url FROM s, range(3) r(i) WHERE i < 2),
+  maps AS (SELECT b, 3 AS src, i AS pos, o || p AS url FROM s, (VALUES (2, '/about-map'), (3, '/en/team')) x(i, p)),
   every AS (SELECT b, 0 AS src, 0 AS pos, url FROM s UNION ALL SELECT * FROM links UNION ALL SELECT * FROM maps),
   once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY b, url ORDER BY src, pos) = 1)
   SELECT b AS business_id, url, row_number() OVER (PARTITION BY b ORDER BY src, pos) - 1 AS ordinal FROM once""")
@@ -200,7 +200,7 @@ def _frontier(t):
     origin = F.regexp_extract("url", "^https?://[^/?#]+", 0)
     paths = F.when(F.col("business_id") % 2 == 0, F.array(F.lit("/contact"), F.lit("/team"))).otherwise(F.array(F.lit("/contact")))
     ranked = site.select("business_id", F.posexplode(paths).alias("pos", "p"), origin.alias("o")).select("business_id", "pos", F.concat("o", "p").alias("url"))
-    maps = site.select("business_id", F.posexplode(F.array(*map(F.lit, ("/map0", "/map1", "/map2")))).alias("pos", "p"), origin.alias("o")).select(
+    maps = site.select("business_id", F.posexplode(F.array(*map(F.lit, ("/blog/1", "/blog/2", "/about-map", "/en/team", "/contact-map")))).alias("pos", "p"), origin.alias("o")).select(
         "business_id", "pos", F.concat("o", "p").alias("url"))
     return E.frontier_union(site, ranked, E.guessed_urls(site), maps)
 

@@ -82,7 +82,7 @@ def _streak(keys: str, src: str) -> str:
     part = f"PARTITION BY {keys}" if keys else ""
     sel = f"{keys}, " if keys else ""
     return f"""SELECT {sel}max(CASE WHEN last >= {D} - 1 THEN n ELSE 0 END)::BIGINT AS n FROM (SELECT {sel}max(day) AS last, count(*) AS n FROM (
-      SELECT *, day - (row_number() OVER ({part} ORDER BY day))::INT AS island FROM (SELECT DISTINCT {sel}day FROM {src} WHERE tasks_done > 0 AND day BETWEEN {D} - 400 AND {D}))
+      SELECT *, day - (row_number() OVER ({part} ORDER BY day))::INT AS island FROM (SELECT DISTINCT {sel}day FROM {src} WHERE tasks_done > 0 AND day <= {D}))
       GROUP BY {sel}island) GROUP BY ALL"""
 
 

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # page and document jobs are bound by CPU, so a split holds little
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.ui.enabled": "false",
     # Python call sites in error messages cost about a millisecond per column expression
     "spark.python.sql.dataFrameDebugging.enabled": "false",

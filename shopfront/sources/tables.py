@@ -31,16 +31,6 @@ def html_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("content_type").isNull() | F.col("content_type").rlike("(?i)text/html|application/xhtml"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rebalances a scan that has fewer splits than there are cores.
-
-    Reading page text is CPU-bound, and a small input may be a single split. A large input
-    has splits enough and is left as it is, so page bodies are not shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_activity(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     reader = spark.readStream if stream else spark.read
     return reader.schema(ACTIVITY_SCHEMA).parquet(path)

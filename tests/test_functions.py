@@ -170,3 +170,37 @@ def test_reference_tables(spark):
     for name, (_, rows) in dims.tables().items():
         assert dims.dim(spark, name).count() == len(rows)
     assert {s for p in dims.PRESET_POINTS for s in dims.SITE_POINTS} == set(dims.SITE_STATES)
+
+
+def test_character_references_of_any_code_point(values):
+    from shopfront.functions import html as H
+
+    texts = ["&#105;&#110;&#102;&#111;&#64;firm.test", "hi&#x40;firm2.test &amp;c", "&#x20AC; &#128578; &#0; &#xD800;", "none", None]
+    assert values(lambda c: H.decode_entities(F.col(c)), texts) == ["info@firm.test", "hi@firm2.test &c", "€ 🙂 � �", "none", None]
+
+
+def test_json_escapes_are_read(values):
+    from shopfront.functions import html as H
+
+    assert values(lambda c: H.json_unescape(F.col(c)), [r"info@firm.test", r"café", r"a\nb\"c\\", "plain"]) == ["info@firm.test", "café", 'a\nb"c\\', "plain"]
+
+
+def test_only_the_attribute_itself_counts(values):
+    from shopfront.functions import html as H
+
+    page = """<a data-href="/no" class=x href='/yes'>t</a><a data-href="/no">t</a><a
+ href=/also>u</a>"""
+    assert values(lambda c: H.hrefs(F.col(c)), [page]) == [["/yes", "/also"]]
+
+
+def test_nothing_is_cut_by_length(values):
+    from shopfront.functions import html as H
+    from shopfront.functions import site as T
+    from shopfront.operators import robots as R
+
+    title = "word " * 200
+    assert values(lambda c: T.site_title(F.col(c)), [f"<title>{title}</title>"]) == [title.strip()]
+    text = "long " * 40 + "contact"
+    assert [a.text for a in values(lambda c: H.anchors(F.col(c)), [f"<a href=/x>{text}</a>"])[0]] == [text]
+    many = "".join(f"<loc>https://a.test/{i}</loc>" for i in range(300))
+    assert len(values(lambda c: R.sitemap_urls(F.col(c)), [many])[0]) == 300

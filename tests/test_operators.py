@@ -16,6 +16,7 @@ from shopfront.operators import enrichment as N
 from shopfront.operators import leads as L
 from shopfront.operators import ordered as O
 from shopfront.operators import poi as P
+from shopfront.operators import robots as R
 from shopfront.operators import stats as S
 from shopfront.operators import tiles as T
 from shopfront.sources import tables as SRC
@@ -35,32 +36,32 @@ def normal(spark, *elements):
 # ------------------------------------------------------------------- POIs
 def test_new_businesses(spark):
     rows = normal(
-        spark, {"id": 1, "tags": {"name": "Beehive Cafe", "amenity": "cafe", "addr:city": "Frome"}},
-        {"id": 2, "tags": {"name": "Fade Factory", "shop": "hairdresser", "website": "https://www.facebook.com/fadefactory"}},
-        {"id": 3, "tags": {"name": "Frome Plumbing", "craft": "plumber", "phone": "+44 1373 123456", "email": "info@fromeplumbing.co.uk",
-                           "contact:instagram": "https://instagram.com/fromeplumbing"}},
+        spark, {"id": 1, "tags": {"name": "Kettle Corner", "amenity": "cafe", "addr:city": "Wells"}},
+        {"id": 2, "tags": {"name": "Clip Room", "shop": "hairdresser", "website": "https://www.facebook.com/cliproom"}},
+        {"id": 3, "tags": {"name": "Brook Pipes", "craft": "plumber", "phone": "+44 1749 654321", "email": "info@brookpipes.co.uk",
+                           "contact:instagram": "https://instagram.com/brookpipes"}},
         {"id": 5, "tags": {"amenity": "cafe"}}, {"id": 6, "tags": {"name": "Closed Cafe", "amenity": "cafe", "disused": "yes"}},
         {"id": 7, "tags": {"name": "Gone", "shop": "bakery", "lifecycle": "disused"}}, {"id": 8, "tags": {"name": "B", "shop": "bakery", "website": "https://b.co.uk"}})
     assert {k: r.site_state for k, r in rows.items()} == {"node/1": "no_tag", "node/2": "social_only", "node/3": "social_only", "node/8": "has_tag_unprobed"}
-    assert rows["node/2"].website_url is None and rows["node/1"].city == "Frome" and rows["node/3"].category == "trades"
-    assert rows["node/3"].phones == ["+44 1373 123456"] and rows["node/3"].emails == ["info@fromeplumbing.co.uk"]
+    assert rows["node/2"].website_url is None and rows["node/1"].city == "Wells" and rows["node/3"].category == "trades"
+    assert rows["node/3"].phones == ["+44 1749 654321"] and rows["node/3"].emails == ["info@brookpipes.co.uk"]
 
 
 def test_upsert_is_idempotent_and_keeps_old_site(spark):
-    el = {"id": 4, "tags": {"name": "The Rye Bakery", "shop": "bakery", "website": "https://rye.co.uk"}}
+    el = {"id": 4, "tags": {"name": "The Oat Oven", "shop": "bakery", "website": "https://oatoven.co.uk"}}
     empty = spark.createDataFrame([], "osm_key string, first_seen_at timestamp, last_seen_at timestamp")
     first = P.upsert(empty, P.normalize(pois(spark, el)), "2024-01-01")
-    el2 = {"id": 4, "tags": {"name": "Rye & Co Bakery", "shop": "bakery", "website": "https://other.co.uk"}}
+    el2 = {"id": 4, "tags": {"name": "Oat & Co Bakery", "shop": "bakery", "website": "https://other.co.uk"}}
     again = P.upsert(first.drop("is_new"), P.normalize(pois(spark, el2)), "2024-01-02").collect()
     assert [r.is_new for r in first.collect()] == [True] and len(again) == 1
     r = again[0]
-    assert (r.is_new, r.name, r.website_url, r.dedupe_key) == (False, "Rye & Co Bakery", "https://rye.co.uk/", "rye.co.uk")
+    assert (r.is_new, r.name, r.website_url, r.dedupe_key) == (False, "Oat & Co Bakery", "https://oatoven.co.uk/", "oatoven.co.uk")
     assert (r.first_seen_at, r.last_seen_at) == (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))
 
 
 def test_social_website_becomes_an_account(spark):
-    n = P.normalize(pois(spark, {"id": 2, "tags": {"name": "F", "website": "https://www.facebook.com/fadefactory"}}))
-    assert [(r.platform, r.handle) for r in P.all_socials(n).collect()] == [("facebook", "fadefactory")]
+    n = P.normalize(pois(spark, {"id": 2, "tags": {"name": "F", "website": "https://www.facebook.com/cliproom"}}))
+    assert [(r.platform, r.handle) for r in P.all_socials(n).collect()] == [("facebook", "cliproom")]
 
 
 def test_response_triage(spark):
@@ -168,7 +169,7 @@ def test_free_hosts_are_distinct_and_domains_pair(spark):
 
 # ------------------------------------------------------------------- feed
 def feed(spark):
-    rows = [(20, "No Site Diner", "no_tag", True), (21, "Live Site Cafe", "live", False), (22, "Social Only Salon", "social_only", False), (23, "Dead Site Garage", "dead", False)]
+    rows = [(20, "Blank Page Diner", "no_tag", True), (21, "Open Door Cafe", "live", False), (22, "Feed First Salon", "social_only", False), (23, "Broken Link Garage", "dead", False)]
     df = spark.createDataFrame(rows, "id bigint, name string, site_state string, has_phone boolean")
     return L.scored(df.withColumns({"has_email": F.lit(False), "has_social": F.lit(False), "tier": F.lit("unknown"), "enrichment_stage": F.lit("none"),
                                     "address_line": F.lit("1 Café Row")}))
@@ -178,14 +179,14 @@ def test_feed_filter_and_search(spark):
     df = feed(spark)
     rows, total = L.feed_page(df, 1, 10)
     ranked = rows.collect()
-    assert ranked[0].name == "No Site Diner" and total.first().total == 4
-    assert {r.name: r.score for r in ranked}["Live Site Cafe"] < ranked[0].score
+    assert ranked[0].name == "Blank Page Diner" and total.first().total == 4
+    assert {r.name: r.score for r in ranked}["Open Door Cafe"] < ranked[0].score
     assert L.lead_filter(df, no_website=True).count() == 3
     names = lambda q: sorted(r.name for r in L.lead_search(df, q).collect())
-    assert names("Diner") == ["No Site Diner"] and names("SITE din") == ["No Site Diner"] and len(names("cafe row")) == 4 and len(names("CAFÉ")) == 4
+    assert names("Diner") == ["Blank Page Diner"] and names("page DIN") == ["Blank Page Diner"] and len(names("cafe row")) == 4 and len(names("CAFÉ")) == 4
     for q in ["No Site", "Smith & Sons", "cafe!", '""', "O'Brien", "*", "a-b", "  "]:
         names(q)
-    assert [r.name for r in L.lead_filter(df, has_phone=True).collect()] == ["No Site Diner"]
+    assert [r.name for r in L.lead_filter(df, has_phone=True).collect()] == ["Blank Page Diner"]
     assert [r.id for r in L.feed_page(df, 2, 3)[0].collect()] == [r.id for r in L.feed_sort(df).collect()][3:]
 
 
@@ -315,3 +316,28 @@ def test_page_budget_stops_when_satisfied(spark):
     rows = [(1, 0, 1, 0, 1), (1, 1, 0, 1, 1), (1, 2, 5, 5, 5), (2, 0, 0, 0, 0), (2, 1, 0, 0, 0), (2, 5, 0, 0, 0)]
     df = spark.createDataFrame(rows, "business_id int, ordinal int, n_emails int, n_phones int, n_socials int")
     assert sorted((r.business_id, r.ordinal) for r in N.page_budget(df).collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+def test_a_poi_given_twice_is_one_row_as_last_seen(spark):
+    old = spark.createDataFrame([("node/1", "Old", "old st")], "osm_key string, name string, street string")
+    new = spark.createDataFrame([("node/1", "First", 1), ("node/1", "Last", 2), ("node/2", "B", 4), ("node/2", "A", 3), ("node/2", "B", 4)], "osm_key string, name string, seen int")
+    got = P.upsert(old.withColumns({"first_seen_at": F.lit(None).cast("timestamp"), "last_seen_at": F.lit(None).cast("timestamp")}), new, "2024-01-30 12:00:00", [F.col("seen")])
+    assert sorted((r.osm_key, r.name, r.is_new) for r in got.collect()) == [("node/1", "Last", False), ("node/2", "B", True)]
+    assert P.upsert(old.withColumns({"first_seen_at": F.lit(None).cast("timestamp"), "last_seen_at": F.lit(None).cast("timestamp")}), new, "2024-01-30 12:00:00").count() == 2
+
+
+def test_the_last_account_row_wins(spark):
+    schema = "osm_key string, platform string, url string, handle string"
+    old = spark.createDataFrame([("node/1", "facebook", "o.test", "h", "h", "known")], schema + ", handle_normalized string, followers_state string")
+    new = spark.createDataFrame([("node/1", "facebook", "b.test", "h", 1), ("node/1", "facebook", "a.test", "h", 2)], schema + ", seen int")
+    (row,) = P.upsert_socials(old, new, order=[F.col("seen")]).collect()
+    assert (row.url, row.handle, row.followers_state) == ("a.test", "h", "known")
+
+
+def test_a_long_streak_and_a_long_robots_file(spark):
+    days = spark.sql("SELECT date_sub(DATE'2024-01-30', CAST(id AS INT)) AS day, 1L AS tasks_done FROM range(500)")
+    assert S.streak(days, "2024-01-30").first().n == 500
+    body = "user-agent: *\n" + "# filler\n" * 80000 + "disallow: /late\nallow: /late/ok*\n"
+    rules = R.robots_rules(spark.createDataFrame([("a.test", body)], "domain string, body string"))
+    urls = spark.createDataFrame([(1, "a.test", "/late/x"), (2, "a.test", "/late/okay"), (3, "a.test", "/")], "id int, domain string, path string")
+    assert {r.id: r.allowed for r in R.robots_decision(urls, rules, "bot").collect()} == {1: False, 2: True, 3: True}
