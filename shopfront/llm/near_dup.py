@@ -8,10 +8,10 @@ that agree in LEAST coordinates meet at least once.
 
 Long posting lists are not paired out. First each class is compared with one class, the pivot, that it shares
 most of its lists with; a list's pivot is its most central class, the one whose coordinate values most classes have. Confirmed links join
-classes, and lists whose classes are joined are done. Later rounds take other members of a list's main component as pivots. Then the classes of lists still open are paired
-across components, as far as they share one of the shingles among which any two sets so alike must meet (the rarest quarter of each) and
-differ in few enough bits of a longer sketch; pairs that agree in enough coordinates are kept, and every link is confirmed
-on the full sets. A link inside a component changes no result, so none that matters is lost.
+classes, and lists whose classes are joined are done. Later rounds take other members of a list's main component as pivots. Then the classes of lists still open are compared
+across components: the lists of one main component are a group, cut into blocks of bounded size, and a task compares the long sketches of two blocks. Only pairs
+whose sketches differ in few enough bits become rows; those that agree in enough coordinates are confirmed on the full sets.
+A link inside a component changes no result, so none that matters is lost.
 
 Defined results. Null or empty text, or text without words: no shingles, component of its own, kept. With fewer words than a shingle the
 whole sequence is one. Repeated rows are copies of each other. A null id is larger than any id: a component takes the smallest
@@ -37,9 +37,11 @@ PERCENT = 75
 COORDINATES = 48
 LEAST = 20
 PREFIX = COORDINATES - LEAST + 1
-#: Bits of the sketch, each from a MinHash value of its own, and by how many links may differ: P(Binomial(512, 0.125) > 106) = 1e-7.
-SKETCH = 512
-DIFFER = 106
+#: Bits of the sketch, each from a MinHash value of its own, and by how many links may differ: P(Binomial(2048, 0.125) > 338) = 1e-7.
+SKETCH = 2048
+DIFFER = 338
+#: Classes in a block, about.
+BLOCK = 512
 #: Rounds of pivots.
 ROUNDS = 2
 #: Stands for a null id.
@@ -153,33 +155,51 @@ def pivot_pairs(state: DataFrame, round_: int) -> DataFrame:
     return met.groupBy("node").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot")).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
 
 
-def pairs_across(state: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components among the classes of open lists that can be links: they share one of their rarest
-    shingles and agree in enough coordinates."""
-    longs = [f"s{i}" for i in range(SKETCH // 64)]
+def block_pairs(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components in one group whose sketches differ in DIFFER bits at most."""
 
     def sketch_rows(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # rows whose values are in memory at once
                 part = batch.slice(at, 64)
                 rows = sketches([np.asarray(x.values).view(np.uint64) for x in part.column("shingles")])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "label", "n")), *(pa.array(rows[:, i].copy()) for i in range(len(longs)))], ["node", "label", "n", *longs])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "label", "n")), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "label", "n", "sketch"])
 
     nodes = state.select("node", "label", "n").distinct().join(sets, "node")
-    sketched = nodes.select("node", "label", "n", "shingles").mapInArrow(sketch_rows, "node bigint, label bigint, n bigint, " + ", ".join(f"{c} bigint" for c in longs))
-    held = nodes.select("node", "n", "label", F.explode("shingles").alias("shingle"))
-    holders = held.groupBy("shingle").agg(F.count("*").alias("posted"), (F.min("label") != F.max("label")).alias("across"))
-    ordered = held.join(holders, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("posted", "shingle", "across"))).alias("ordered"))
-    # any set so alike has one of the first n - ceil(PERCENT * n) + 1
-    first = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
-    rare = ordered.select("node", F.explode(F.filter(first, lambda s: s["across"])).alias("s")).select("s.shingle", "node")
-    rare = written(rare.join(sketched, "node"), "rare-shingles")
-    rare = rare.join(open_lists(rare, "shingle"), "shingle")
-    left = rare.filter("label != main").select("shingle", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), *[F.col(c).alias(f"u{c}") for c in longs])
-    right = rare.select("shingle", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), (F.col("label") == F.col("main")).alias("of_main"), *[F.col(c).alias(f"v{c}") for c in longs])
-    differ = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in longs), F.lit(0))
-    met = left.join(right, "shingle").filter((F.col("lu") != F.col("lv")) & (F.col("of_main") | (F.col("u") < F.col("v"))) & size_fits("nu", "nv") & (differ <= DIFFER))
-    met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sketched = nodes.select("node", "label", "n", "shingles").mapInArrow(sketch_rows, "node bigint, label bigint, n bigint, sketch binary")
+    members = state.select("main", "node").distinct()
+    groups = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(groups, "main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sketched, "node")
+    packed = written(placed.groupBy("main", "block", "blocks").agg(F.collect_list(F.struct("node", "label", "n", "sketch")).alias("rows")), "sketch-blocks")
+    left = packed.select("main", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"), (F.col("block")).alias("own"), F.col("rows").alias("a"))
+    both = left.join(packed.select("main", "block", F.col("rows").alias("b")), ["main", "block"])
+
+    def columns(rows):
+        node, label, n = (np.array([r[c].as_py() for r in rows], np.int64) for c in ("node", "label", "n"))
+        return node, label, n, np.frombuffer(b"".join(r["sketch"].as_py() for r in rows), np.uint64).reshape(len(node), -1)
+
+    def compare(batches):
+        for batch in batches:
+            for a, b, own, other in zip(*(batch.column(c) for c in ("a", "b", "own", "block"))):
+                node_a, label_a, n_a, sketch_a = columns(a)
+                node_b, label_b, n_b, sketch_b = columns(b)
+                out = []
+                for i in range(len(node_a)):
+                    fits = (label_b != label_a[i]) & (100 * np.minimum(n_b, n_a[i]) >= PERCENT * np.maximum(n_b, n_a[i]))
+                    if own.as_py() == other.as_py():
+                        fits &= node_b > node_a[i]
+                    at = np.flatnonzero(fits)
+                    at = at[np.bitwise_count(sketch_b[at] ^ sketch_a[i]).sum(axis=1, dtype=np.int64) <= DIFFER]
+                    out.append(np.stack([np.minimum(node_b[at], node_a[i]), np.maximum(node_b[at], node_a[i])]))
+                u, v = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return both.select("a", "b", "own", "block").mapInArrow(compare, "u bigint, v bigint").distinct()
+
+
+def pairs_across(state: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components among the classes of open lists that agree in enough coordinates."""
+    met = block_pairs(state, sets)
     sign = classes.select("node", "signature")
     equal = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return met.join(sign.select(F.col("node").alias("u"), F.col("signature").alias("a")), "u").join(sign.select(F.col("node").alias("v"), F.col("signature").alias("b")), "v").filter(equal >= LEAST).select("u", "v")
