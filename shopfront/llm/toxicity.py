@@ -15,6 +15,7 @@ do not count. No rows: no rows. Other columns play no part.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +27,7 @@ from .common import crc_of_id, text_slices
 from .words import mix, powers
 
 #: Labelled documents that training reads at most, of each class; a fixed sample by hash. This bounds the broadcasts and what the driver gathers.
-SAMPLE = {1: 1000, 0: 2000}
+SAMPLE = {1: 1000, 0: 2400}
 #: Characters of a sampled document beyond which it is left out of the sample.
 SAMPLE_CHARS = 8_000
 #: Codes in a window, and by how many windows overlap.
@@ -122,16 +123,36 @@ def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
+def blocks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
+    """The texts in runs of about so many characters, so that the arrays made of a run stay small."""
+    run, held = [], 0
+    for t in texts:
+        run.append(t)
+        held += len(t)
+        if held >= most:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all texts, and where each begins."""
+    parts = [codes(*flat(run)) for run in blocks(texts)]
+    starts = np.concatenate([[0], np.cumsum([len(c) for c, _ in parts])]).astype(np.int64)
+    return np.concatenate([c for c, _ in parts]), np.concatenate([*(b[:-1] + s for (_, b), s in zip(parts, starts)), starts[-1:]])
+
+
 def stretches(texts: list[str], wanted: np.ndarray, size: int) -> bytes:
     """Dictionary content: the wanted codes where they first stand in the texts, so that those of one word stay together."""
-    code, _ = codes(*flat(texts))
+    code, _ = coded(texts)
     first = np.sort(np.unique(code, return_index=True)[1])
     return as_bytes(code[first[np.isin(code[first], wanted)]])[: size // CODE_BYTES * CODE_BYTES]
 
 
 def document_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The codes and in how many of the texts each is."""
-    code, begins = codes(*flat(texts))
+    code, begins = coded(texts)
     each = [np.unique(code[a:b]) for a, b in zip(begins[:-1], begins[1:])]
     return np.unique(np.concatenate(each), return_counts=True)
 
@@ -155,7 +176,7 @@ def unlike(texts: list[str]) -> list[str]:
     """The texts without those that share half of their least pairs of codes with one before them."""
     holders: dict[int, list[int]] = {}
     out = []
-    code, begins = codes(*flat(texts))
+    code, begins = coded(texts)
     for text, a, b in zip(texts, begins[:-1], begins[1:]):
         # codes in pairs a little apart, which unlike documents hardly share
         least = np.unique(mix(code[a : max(a, b - 7)] * np.uint64(0x9E3779B97F4A7C15) + code[min(b, a + 7) : b]))[:ALIKE].tolist()
@@ -188,7 +209,8 @@ def fit(samples: list[tuple[str, int]]) -> Model:
     for fold in range(folds := min(FOLDS, len(toxic), len(ordinary))):
         inside, held = ([[t for i, t in enumerate(texts) if (i % folds == fold) == out] for texts in (toxic, ordinary)] for out in (False, True))
         model = dictionaries(*inside)
-        x.append(model.features(*flat(held[0] + held[1]), model.compressors()))
+        pack = model.compressors()
+        x += [model.features(*flat(run), pack) for run in blocks(held[0] + held[1])]
         y += [1] * len(held[0]) + [0] * len(held[1])
     model = dictionaries(toxic, ordinary)
     model.weights = logistic(np.concatenate(x), np.array(y))
