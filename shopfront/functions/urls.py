@@ -60,6 +60,16 @@ def percent_encode(path: Column) -> Column:
     return F.when(path.rlike(bad), encoded).otherwise(path)
 
 
+def resolve_dots(path: Column) -> Column:
+    """A path without `.` and `..` segments, as a browser resolves them; others are left as they are."""
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda out, s: F.when(s == ".", out)
+                       .when(s == "..", F.slice(out, F.lit(1), F.greatest(F.lit(0), F.size(out) - 1))).otherwise(F.concat(out, F.array(s))))
+    # a path that ends in a dot segment names a folder
+    ends = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), ends)).otherwise(path)
+
+
 def url_parts(df: DataFrame, col: str, prefix: str = "u_") -> DataFrame:
     """Adds scheme, host (with www), port, path and query of an http(s) URL; all NULL if it is not one."""
     p = lambda n: F.col(prefix + n)
@@ -72,7 +82,7 @@ def url_parts(df: DataFrame, col: str, prefix: str = "u_") -> DataFrame:
         prefix + "scheme": F.lower(F.regexp_extract(p("full"), "^([A-Za-z]+):", 1)),
         prefix + "host": F.lower(F.regexp_replace(authority, r":\d*$", "")),
         prefix + "port": F.regexp_extract(authority, r":(\d+)$", 1),
-        prefix + "path": percent_encode(F.regexp_extract(p("full"), _PARTS, 2)),
+        prefix + "path": resolve_dots(percent_encode(F.regexp_extract(p("full"), _PARTS, 2))),
         prefix + "query": percent_encode(F.regexp_extract(p("full"), _PARTS, 3)),
     })
     valid = p("full").isNotNull() & p("host").rlike(r"^[^\s%<>\[\]^|:]+$")

@@ -1,21 +1,48 @@
 """Edits to leads, contacts and tasks: old tables plus a table of changes give new tables."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+from .leads import denorm, scored
 from .ordered import insert_new, previous
 
 
+def final_targets(pairs: DataFrame) -> DataFrame:
+    """(drop_id, keep_id) with one row per dropped lead, its target being a lead that stays.
+
+    A lead dropped twice goes to the smaller of its targets. Chains are followed by doubling, so a chain of n
+    merges takes about log2(n) rounds; leads that are merged in a circle have no target and raise an error.
+    """
+    spark = pairs.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(spark).rstrip('/')}/merge-targets-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    moves = written(pairs.filter("drop_id <> keep_id").groupBy("drop_id").agg(F.min("keep_id").alias("keep_id")))
+    for _ in range(moves.count().bit_length() + 1):
+        onward = moves.select(F.col("drop_id").alias("keep_id"), F.col("keep_id").alias("_next"))
+        joined = moves.join(onward, "keep_id", "left")
+        if joined.filter("_next IS NOT NULL").isEmpty():
+            return moves
+        moves = written(joined.select("drop_id", F.coalesce("_next", "keep_id").alias("keep_id")))
+    raise ValueError("leads are merged in a circle")
+
+
 def merge_leads(leads: DataFrame, phones: DataFrame, emails: DataFrame, socials: DataFrame, links: DataFrame, tasks: DataFrame,
                 events: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
     """Applies (keep_id, drop_id) pairs to all tables of a lead.
 
-    A dropped lead appears once and is not itself kept elsewhere in the batch. Contacts the
-    kept lead lacks are copied over, tasks and pipeline events re-pointed, the dropped lead
-    and its own contacts removed. Scores are then recomputed with the usual jobs.
+    Contacts the kept lead lacks are copied over, tasks and pipeline events re-pointed, the dropped lead
+    and its own contacts removed. `rescored` then refreshes counts and scores.
+    A lead may be dropped twice or kept by one pair and dropped by another; see final_targets.
     """
-    moves = pairs.select(F.col("drop_id").alias("business_id"), "keep_id")
+    moves = final_targets(pairs).select(F.col("drop_id").alias("business_id"), "keep_id")
 
     def children(df: DataFrame, key: list[str]) -> DataFrame:
         stay = df.join(moves, "business_id", "left_anti")
@@ -38,6 +65,11 @@ def merge_leads(leads: DataFrame, phones: DataFrame, emails: DataFrame, socials:
     }
 
 
+def rescored(merged: dict[str, DataFrame]) -> DataFrame:
+    """The leads of a merge with their counts, flags and scores taken anew from the merged contacts."""
+    return scored(denorm(*(merged[name] for name in ("leads", "phones", "emails", "socials"))))
+
+
 def delete_leads(leads: DataFrame, children: dict[str, DataFrame], tasks: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
     """Removes leads; their child rows go with them, their tasks stay without a lead."""
     gone = ids.select(F.col("id").alias("business_id")).withColumn("_gone", F.lit(True))

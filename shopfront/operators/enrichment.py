@@ -121,8 +121,8 @@ def email_finds() -> Column:
     conf = dict(dims.EMAIL_SOURCES)
     return F.concat(
         _ranked("mailto", gather(F.transform(mailto, decoded)), 0, conf["mailto"]), _ranked("jsonld", gather(declared), 1, conf["jsonld"]),
-        _ranked("protected", shown, 2, conf["protected"]), _ranked("text", C.find_emails(text), 3, conf["text"]),
-        _ranked("repaired", C.find_repaired(F.col("_marked")), 4, conf["repaired"]))
+        _ranked("cf-decode", shown, 2, conf["cf-decode"]), _ranked("text", C.find_emails(text), 3, conf["text"]),
+        _ranked("text", C.find_repaired(F.col("_marked")), 4, dims.REPAIRED_CONFIDENCE))
 
 
 def emails_of(finds: DataFrame, key: str) -> DataFrame:

@@ -104,9 +104,9 @@ _emails = f"""SELECT page_id, address, arg_min(source, (rk, pos)) AS source, arg
   SELECT page_id, unnest(a) AS address, generate_subscripts(a, 1) AS pos, rk, source, conf FROM (
     SELECT page_id, flatten(list_transform(list_filter(hrefs, lambda h: lower(h) LIKE 'mailto:%'), lambda h: {O.find_emails('h')})) AS a, 0 AS rk, 'mailto' AS source, 0.95 AS conf FROM or_page_text
     UNION ALL SELECT page_id, {O.find_emails("regexp_replace(v, '(?i)^mailto:', '')")}, 1, 'jsonld', 0.9 FROM ({_ld_strings('email')})
-    UNION ALL SELECT page_id, ['hi@salon.co'], 2, 'protected', 0.85 FROM fx_page WHERE html LIKE '%data-cfemail="422a2b0231232e2d2c6c212d"%'
+    UNION ALL SELECT page_id, ['hi@salon.co'], 2, 'cf-decode', 0.85 FROM fx_page WHERE html LIKE '%data-cfemail="422a2b0231232e2d2c6c212d"%'
     UNION ALL SELECT page_id, {O.find_emails('body_text')}, 3, 'text', 0.8 FROM or_page_text
-    UNION ALL SELECT page_id, {O.find_emails('d')}, 4, 'repaired', 0.6 FROM (SELECT page_id, {deobfuscated('body_text')} AS d FROM or_page_text))) GROUP BY page_id, address"""
+    UNION ALL SELECT page_id, {O.find_emails('d')}, 4, 'text', 0.6 FROM (SELECT page_id, {deobfuscated('body_text')} AS d FROM or_page_text))) GROUP BY page_id, address"""
 
 
 @query("K2_email_extract_job", f"SELECT page_id, address, {O.KIND} AS kind, source, confidence::DOUBLE AS confidence FROM ({_emails})")

@@ -172,11 +172,14 @@ def _(t):
     return df.select("osm_key", "name", "category", "city", "address_line", "country_code", "street", "website_url", "dedupe_key", "site_state", "is_new", micros("first_seen_at"))
 
 
-@query("H2_phone_insert", """SELECT osm_key, raw, e164, confidence, reject_reason FROM or_poi_phone
-  QUALIFY row_number() OVER (PARTITION BY osm_key, coalesce(e164, raw) ORDER BY ord) = 1""")
+@query("H2_phone_insert", """SELECT osm_key, raw, e164, confidence, reject_reason FROM or_poi_phone WHERE e164 IS NULL
+  UNION ALL SELECT osm_key, raw, e164, confidence, reject_reason FROM (SELECT * FROM or_poi_phone
+  WHERE (osm_key, coalesce(e164, raw)) NOT IN (SELECT (osm_key, raw) FROM or_poi_phone WHERE e164 IS NULL)
+  QUALIFY row_number() OVER (PARTITION BY osm_key, coalesce(e164, raw) ORDER BY ord) = 1)""")
 def _(t):
     incoming = P.poi_phones(normalized(t))
-    first = P.insert_phones(incoming.limit(0), incoming)
+    # the unresolved ones are known already
+    first = P.insert_phones(incoming.filter("e164 IS NULL"), incoming)
     again = P.insert_phones(first, incoming)
     return again.select("osm_key", "raw", "e164", "confidence", "reject_reason")
 

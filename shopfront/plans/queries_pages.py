@@ -74,9 +74,9 @@ def _(t):
     return U.url_identity(all_urls(t), "raw").select("src", "id", kind.alias("class"))
 
 
-@query("C7_page_body", "SELECT m.page_id, m.status, length(b.html) AS n_chars FROM fx_page m LEFT JOIN (SELECT url_key, html FROM fx_page WHERE status IS NOT NULL) b USING (url_key) WHERE m.content_type LIKE 'text/html%'")
+@query("C7_page_body", "SELECT m.page_id, m.status, length(b.html) AS n_chars FROM fx_page m LEFT JOIN (SELECT url_key, html FROM fx_page WHERE status IS NOT NULL) b USING (url_key)")
 def _(t):
-    meta = t.page.select("page_id", "url_key", "status", "content_type").filter("content_type LIKE 'text/html%'")
+    meta = t.page.select("page_id", "url_key", "status", "content_type")
     bodies = t.page.filter("status IS NOT NULL").select("url_key", "html")
     return T.page_body(meta, bodies).select("page_id", "status", F.length("html").cast("bigint").alias("n_chars"))
 

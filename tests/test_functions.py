@@ -204,3 +204,10 @@ def test_nothing_is_cut_by_length(values):
     assert [a.text for a in values(lambda c: H.anchors(F.col(c)), [f"<a href=/x>{text}</a>"])[0]] == [text]
     many = "".join(f"<loc>https://a.test/{i}</loc>" for i in range(300))
     assert len(values(lambda c: R.sitemap_urls(F.col(c)), [many])[0]) == 300
+
+
+def test_dot_segments_are_resolved(values, spark):
+    paths = ["/x/../contact", "/./contact", "/a/b/../../c", "/../x", "/a/..", "/a/.", "/a/./", "/a..b/.c", "/", ""]
+    assert values(lambda c: U.resolve_dots(F.col(c)), paths) == ["/contact", "/contact", "/c", "/x", "/", "/a/", "/a/", "/a..b/.c", "/", ""]
+    urls = spark.createDataFrame([("https://a.test/x/../contact",), ("https://a.test/./contact",), ("https://www.a.test/contact?utm_source=q",)], "url string")
+    assert {r.cache_key for r in U.cache_key(urls, "url").collect()} == {"https://a.test/contact"}

@@ -294,6 +294,14 @@ def test_merge_keeps_every_contact(spark):
     assert rows("links", "business_id", "query_id") == [(1, 5), (1, 6)] and {(r.id, r.business_id) for r in out["tasks"].collect()} == {(1, 1), (2, None)}
 
 
+def test_merges_in_chains_and_given_twice_have_one_target(spark):
+    schema = "drop_id bigint, keep_id bigint"
+    got = E.final_targets(spark.createDataFrame([(2, 1), (2, 1), (3, 2), (4, 3), (5, 9), (5, 8), (7, 7)], schema))
+    assert {r.drop_id: r.keep_id for r in got.collect()} == {2: 1, 3: 1, 4: 1, 5: 8}
+    with pytest.raises(ValueError):
+        E.final_targets(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], schema))
+
+
 def test_tiles_keep_every_point_and_stop_at_small_spans(spark):
     rng = random.Random(1)
     rows = [(i, rng.random() ** 3, rng.random()) for i in range(500)] + [(500, 1.0, 1.0)]
