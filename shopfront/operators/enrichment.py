@@ -10,7 +10,7 @@ from ..functions import html as H
 from ..functions import site as T
 from ..functions import urls as U
 from .arrays import keep, unnest, unnest_with_position
-from .ordered import first_per_key, top_per_key
+from .ordered import first_per_key, left_join_known, top_per_key
 
 HTML_TYPES = "(?i)text/html|application/xhtml"
 
@@ -60,7 +60,7 @@ def site_probe_job(leads: DataFrame, pages: DataFrame, socials: DataFrame) -> Da
 def probe_leads(leads: DataFrame, facts: DataFrame, socials: DataFrame) -> DataFrame:
     """Leads with the facts of their page; those without a website are settled by their social accounts."""
     social = socials.select(F.col("business_id").alias("id")).distinct().withColumn("_social", F.lit(True))
-    df = leads.drop("site_state").join(facts, "url_key", "left").join(social, "id", "left")
+    df = left_join_known(leads.drop("site_state"), facts, "url_key").join(social, "id", "left")
     no_site = F.when(F.col("_social"), "social_only").otherwise("no_tag")
     has_site = F.col("website_url").isNotNull()
     df = df.withColumn("site_state", F.when(has_site, F.coalesce("probed_state", F.lit("has_tag_unprobed"))).otherwise(no_site))

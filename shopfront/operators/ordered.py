@@ -58,3 +58,11 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     """The n first rows of every key. Spark cuts each input partition to n rows per key before the shuffle."""
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("_rn") <= n).drop("_rn")
+
+
+def left_join_known(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join by a key that is NULL in many rows. Those meet nothing, so they stay where they are instead of going to one task."""
+    more = [f for f in other.schema.fields if f.name != key]
+    known = df.filter(F.col(key).isNotNull()).join(other, key, "left")
+    loose = df.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
+    return known.unionByName(loose)

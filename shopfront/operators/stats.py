@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.score import known_followers
-from .ordered import numbered
+from .ordered import left_join_known, numbered
 
 STAGE_METRICS = ["contacted", "replied", "won", "lost"]
 METRICS = ["tasks_created", "tasks_done", "leads_found", *STAGE_METRICS]
@@ -126,7 +126,7 @@ def due_counts(tasks: DataFrame, today: str) -> DataFrame:
 def task_business(tasks: DataFrame, leads: DataFrame) -> DataFrame:
     b = leads.select(F.col("id").alias("business_id"), F.col("name").alias("business_name"), F.col("score").alias("business_score"),
                      F.col("site_state").alias("business_site_state"))
-    return tasks.join(b, "business_id", "left")
+    return left_join_known(tasks, b, "business_id")
 
 
 def day_lists(tasks: DataFrame, today: str) -> DataFrame:
