@@ -99,6 +99,12 @@ def stage_events(leads: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.filter("from_stage <> to_stage").select("id", "business_id", "at", "from_stage", "to_stage")
 
 
+def stage_log(events: DataFrame) -> DataFrame:
+    """Activity-log rows of pipeline events, as the daily counters read them."""
+    meta = F.to_json(F.struct(F.col("from_stage").alias("fromStage"), F.col("to_stage").alias("toStage")))
+    return events.select("id", F.lit("stage_change").alias("kind"), "business_id", "at", F.to_date("at").alias("day"), meta.alias("meta"))
+
+
 def stage_change(leads: DataFrame, edits: DataFrame) -> DataFrame:
     """Leads with the stage of their last edit."""
     last = edits.groupBy(F.col("business_id").alias("id")).agg(F.max_by("to_stage", F.struct("at", "id")).alias("_stage"))
