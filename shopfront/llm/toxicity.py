@@ -30,6 +30,8 @@ from .words import mix, powers
 SAMPLE = {1: 1000, 0: 2400}
 #: Characters of a sampled document beyond which it is left out of the sample.
 SAMPLE_CHARS = 8_000
+#: Bytes of text that a task has codes of at a time.
+SLICE_BYTES = 1 << 19
 #: Codes in a window, and by how many windows overlap.
 WINDOW = 40
 OVERLAP = 6
@@ -251,10 +253,11 @@ def scored_batches(model, text_col: str):
         for batch in batches:
             m = model.value
             pack = pack or (m.compressors() if len(m.weights) else None)
-            values = [np.zeros(0)]
-            for lo, hi, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text_col))):
-                values.append(m.scores(m.features(data, offsets, pack)) if pack else np.zeros(hi - lo))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(values), pa.float64())], [*batch.schema.names, "__score"])
+            # in small parts, as the arrays made of a text are many times as large, and whole rows go back
+            for lo, hi, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text_col)), SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                values = m.scores(m.features(data, offsets, pack)) if pack else np.zeros(hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())], [*batch.schema.names, "__score"])
 
     return score
 
