@@ -37,9 +37,9 @@ PERCENT = 75
 COORDINATES = 48
 LEAST = 20
 PREFIX = COORDINATES - LEAST + 1
-#: Bits of the sketch, each from a MinHash value of its own, and by how many links may differ: P(Binomial(2048, 0.125) > 338) = 1e-7.
-SKETCH = 2048
-DIFFER = 338
+#: Bits of the sketch, each from a MinHash value of its own, and by how many links may differ: P(Binomial(4096, 0.125) > 628) = 4e-8.
+SKETCH = 4096
+DIFFER = 628
 #: Classes in a block, about.
 BLOCK = 512
 #: Rounds of pivots.
