@@ -216,7 +216,9 @@ def links(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame |
         new = confirmed(pairs, sets)
         new = written(new if found is None else new.unionByName(found), "links")
         if new.isEmpty():
-            break
+            # no link with a pivot says nothing about the other pairs of the lists
+            state = state.drop("main")
+            continue
         labels = components(new)
         # stars stand for all links so far
         found = labels.filter("node != label").select(F.col("node").alias("u"), F.col("label").alias("v"))

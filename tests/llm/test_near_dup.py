@@ -99,6 +99,27 @@ def test_without_pivots_the_same(spark, monkeypatch):
     assert sorted((tuple(r) for r in near_dup.find(df).collect()), key=str) == brute(rows)
 
 
+def hub_corpus(rng):
+    """Pages of one template alike below the threshold, a hub in their middle, and two of the pages linked with each other only."""
+    hub = [f"h{i}" for i in range(400)]
+
+    def page(k, places):
+        return [f"p{k}x{i}" if i in places else w for i, w in enumerate(hub)]
+
+    some = lambda n: set(rng.sample(range(10, 390, 6), n))
+    pages = [page(k, some(15)) for k in range(30)]
+    places = rng.sample(range(10, 390, 6), 20)
+    return [(i, " ".join(w)) for i, w in enumerate([hub, *pages, page(30, set(places[:15])), page(30, set(places[5:]))])]
+
+
+def test_a_pair_beside_pivots_without_links(spark):
+    rows = hub_corpus(random.Random(0))
+    want = brute(rows)
+    assert [x[:1] + x[2:] for x in want if not x[3]] == [(32, 31, False)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in near_dup.find(df).collect()), key=str) == want
+
+
 def test_no_rows_and_no_links(spark):
     assert near_dup.find(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     got = near_dup.find(spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id bigint, text string")).collect()
