@@ -1,6 +1,8 @@
 """Toxicity by compression distance.
 
-Each word is written as codes of five bytes that stand for its first three bytes, its first four, and so on up to eight. So a
+Each word is written as codes of five bytes that stand for its first three bytes, its first four, and so on up to eight. After
+that every character has a code of the six bytes that end with it, so that a word, or a run of a script that sets no spaces, is read to its end;
+a word of one or two bytes has one code. So a
 stretch of text costs a compressor little only if its dictionary has seen the same beginnings of words, and a seldom letter
 costs as much as any other. Two zstandard dictionaries are trained on a bounded sample of labelled documents: one holds what
 ordinary text is made of, the other what toxic text is made of, which is that and the stretches that
@@ -40,9 +42,11 @@ LEVEL = 3
 DOCUMENTS = 4
 SHARE = 0.01
 TIMES = 8.0
-#: Bytes of a word's beginning that codes stand for, and the first of them that has a code: shorter beginnings say nothing.
+#: Bytes of a word's beginning that codes stand for, and the first of them that has a code: shorter beginnings say nothing, unless they are the word.
 REACH = 8
 FIRST = 3
+#: Bytes that a code after the beginning stands for; more than any character has.
+TAIL = 6
 CODE_BYTES = 5
 #: A window saves if it is shorter by so many bytes.
 SAVES = 6
@@ -75,7 +79,11 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     a, begins = a[keep], place[begins]
     at = np.arange(len(a))
     since = np.maximum.accumulate(np.where(a == 32, at, 0))
-    coded = (at - since >= FIRST) & (at - since <= REACH)
+    depth = at - since
+    after = np.append(a[1:], np.uint8(32))
+    whole = (after < 128) | (after >= 192)  # the last byte of a character
+    coded = (depth >= FIRST) & (depth <= REACH) | (depth > REACH) & whole | (depth > 0) & (depth < FIRST) & (after == 32)
+    since = np.where(depth > REACH, at + 1 - TAIL, since)
     at, since = at[coded], since[coded]
     power, inverse = powers(len(a) + 1)
     total = np.zeros(len(a) + 1, np.uint64)

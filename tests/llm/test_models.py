@@ -167,6 +167,28 @@ def test_toxicity_of_odd_rows(spark):
     assert not len(toxicity.train(docs(spark, rows), labels).weights)
 
 
+def test_every_letter_of_a_text_is_coded():
+    texts = ["antidisestablishmentarianism is it", "Rechtsschutzversicherungsgesellschaften", "неповторимыми", "अंतरराष्ट्रीय", "这是一段没有空格的中文文字用来看看是否每个字都被读到", "ไม่มีช่องว่างในข้อความนี้", "a be see"]
+    for text in texts:
+        code, _ = toxicity.codes(*toxicity.flat([text]))
+        for i, c in enumerate(text):
+            if c != " ":
+                other, _ = toxicity.codes(*toxicity.flat([text[:i] + ("q" if c.isascii() else chr(ord(c) ^ 1)) + text[i + 1 :]]))
+                assert code.tolist() != other.tolist(), (text, i)
+    # what ends a run has the same codes wherever it stands
+    ends = [set(toxicity.codes(*toxicity.flat([t + "有毒的害虫"]))[0].tolist()) for t in ("这是一段没有", "空格的中文文字用")]
+    assert len(ends[0] & ends[1]) >= 4
+
+
+def test_toxic_ends_of_long_words_count():
+    rng = random.Random(8)
+    says = lambda end: " ".join("unaussprechlich" + "".join(rng.choice("abcdefgh") for _ in range(3)) + end for _ in range(30))
+    model = toxicity.fit([(says("blume"), 0) for _ in range(24)] + [(says("geschmeiss"), 1) for _ in range(24)])
+    data = toxicity.flat([says("blume"), says("geschmeiss")])
+    clean, toxic = model.scores(model.features(*data, model.compressors()))
+    assert clean < 0.3 and toxic > 0.7
+
+
 def test_dictionaries_learn_nothing_from_held_out_rows(spark):
     rows = [(i, f"text {i} " * 5) for i in range(60)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
