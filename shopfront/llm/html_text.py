@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: A subtree is template if it is on at least so many pages of its host, and on this share of them.
+#: A subtree is template if it is on at least so many pages of its host, however many pages the host has.
 PAGES = 5
-SHARE = 0.02
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas select".split())
@@ -180,15 +179,14 @@ def parsed_page(html: str) -> tuple[int, list[int], list[dict]]:
     return page, sorted(set(found.values())), kept
 
 
-def templates(parsed: DataFrame, pages_least: int, share: float) -> DataFrame:
+def templates(parsed: DataFrame, pages_least: int) -> DataFrame:
     """(host, hash) of the subtrees that recur on many pages of the host."""
     pages = parsed.groupBy("host", "page").agg(F.first("hashes").alias("hashes"))
-    counts = pages.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= pages_least)
-    hosts = pages.groupBy("host").agg(F.count("*").alias("all_pages"))
-    return counts.join(hosts, "host").filter(F.col("pages") >= share * F.col("all_pages")).select("host", "hash")
+    counts = pages.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pages"))
+    return counts.filter(F.col("pages") >= pages_least).select("host", "hash")
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", pages_least: int = PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", pages_least: int = PAGES) -> DataFrame:
     """One row per page: id, url, text, n_chars."""
     kind, url_kind = pages.schema[id_col].dataType.simpleString(), pages.schema[url_col].dataType.simpleString()
 
@@ -202,7 +200,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
     parsed = written(rows.mapInArrow(parse_rows, f"id {kind}, url {url_kind}, host string, {PARSED}"), "html-blocks")
-    template = templates(parsed.select("host", "page", "hashes"), pages_least, share)
+    template = templates(parsed.select("host", "page", "hashes"), pages_least)
     around = F.flatten(F.col("blocks.around"))
     in_doubt = parsed.filter(F.size(around) > 0)
     # pages of one host and hash are alike, so what goes is found once for all of them

@@ -251,6 +251,13 @@ def test_subtrees_that_recur_on_a_host_go(spark):
     assert all(got[100 + i] == f"Welcome to our shop Home Story {i} is told. It ends. Call us" for i in range(20))
 
 
+def test_template_of_a_host_does_not_hang_on_its_size(spark):
+    noted = [(i, "http://a/x", f"<body><div>We close at noon</div><div>Story {i}</div></body>") for i in range(6)]
+    more = [(100 + i, "http://a/y", f"<body><div>Page {i}</div></body>") for i in range(600)]
+    small, large = extracted(spark, noted), extracted(spark, noted + more)
+    assert {i: small[i] for i in range(6)} == {i: large[i] for i in range(6)} == {i: f"Story {i}" for i in range(6)}
+
+
 def test_copies_and_passages_of_an_article_stay(spark):
     copy = "<body><div>menu</div><article><p>Same text</p><p>everywhere</p></article></body>"
     bare = "<body><div>Bare copy</div></body>"
