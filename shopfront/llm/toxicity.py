@@ -148,6 +148,8 @@ def blocks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
 
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The codes of all texts, and where each begins."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     parts = [codes(*flat(run)) for run in blocks(texts)]
     starts = np.concatenate([[0], np.cumsum([len(c) for c, _ in parts])]).astype(np.int64)
     return np.concatenate([c for c, _ in parts]), np.concatenate([*(b[:-1] + s for (_, b), s in zip(parts, starts)), starts[-1:]])
