@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, decontaminate, html_text, language_id, near_dup, secrets, sharding, toxicity, warc
+from . import ann, byte_bpe, decontaminate, divergence, html_text, language_id, lexical_search, near_dup, secrets, sharding, toxicity, warc, word_bpe
 from .common import table
 from .registry import query
 
@@ -59,3 +59,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.predict(docs, language_id.train(docs))
+
+
+@query("op11_source_divergence", divergence.oracle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+@query("op12_word_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_lexical_search", lexical_search.oracle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
