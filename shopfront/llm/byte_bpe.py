@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import lean, text_key
 
 #: Characters of a chunk, and how far it reaches into the next.
 CHUNK = 32768
@@ -134,7 +134,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
         for batch in small_batches(batches, "text", TEXT_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), encoded_column(batch.column(1), path)], ["id", "ids"])
 
-    short = rows.filter(F.length("text") <= chunk).mapInArrow(encode_rows, f"id {kind}, ids array<int>")
+    short = rows.filter(F.length("text") <= chunk).mapInArrow(lean(encode_rows), f"id {kind}, ids array<int>")
 
     long = rows.filter(F.length("text") > chunk).withColumn("key", text_key())
     texts = long.select("key", "text").dropDuplicates(["key"])
@@ -152,7 +152,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(heads, longs), pa.array(tails, longs)], ["key", "chunk", "head", "tail"])
 
     # dealt out by chunk, so that the chunks of one text are read side by side
-    marks = cut.repartition(F.col("key"), F.col("chunk")).mapInArrow(pre_tokenise, "key binary, chunk int, head array<bigint>, tail array<bigint>")
+    marks = cut.repartition(F.col("key"), F.col("chunk")).mapInArrow(lean(pre_tokenise), "key binary, chunk int, head array<bigint>, tail array<bigint>")
 
     def stitch(marks_of_text):
         chunks = marks_of_text.sort_values("chunk").to_dict("records")
@@ -173,7 +173,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     parts = cut.join(pieces.filter("piece >= 0"), (cut["key"] == pieces["key"]) & (cut["chunk"] == pieces["piece"])).select(
         cut["key"], "piece", F.col("text").substr((begin + 1).cast("int"), (end - begin).cast("int")).alias("text"))
     whole = texts.join(pieces.filter("piece < 0").select("key", "piece"), "key").select("key", "piece", "text")
-    encoded = parts.unionByName(whole).mapInArrow(encode_pieces, "key binary, piece int, ids array<int>")
+    encoded = parts.unionByName(whole).mapInArrow(lean(encode_pieces), "key binary, piece int, ids array<int>")
     joined = encoded.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda p: p["ids"])).alias("ids"))
     stitched = long.select("id", "key").join(joined, "key").select("id", "ids")
     return short.unionByName(stitched).select(F.col("id").alias(id_col), "ids")
@@ -193,7 +193,7 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", path: str | None = Non
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary()), pa.array([len(r) for r in rows], pa.int64()), pa.array(digests, pa.string())], ["id", "bytes", "n_tokens", "ids_sha256"])
 
     rows = encoded.select(F.col(id_col).alias("id"), "ids")
-    return rows.mapInArrow(decode_rows, f"id {kind}, bytes binary, n_tokens bigint, ids_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(decode_rows), f"id {kind}, bytes binary, n_tokens bigint, ids_sha256 string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, **how) -> DataFrame:

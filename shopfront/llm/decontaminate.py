@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import lean, text_slices
 from .fm_index import FmIndex
 from .words import WORD, words_of
 
@@ -173,7 +173,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, id_col: str =
                         items.append(sorted(new_items[r] | set(got_items[lo + r] or ())))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(spans, found_type), pa.array(items, pa.list_(pa.int64()))], ["id", "text", "n_words", "spans", "items"])
 
-        df = df.mapInArrow(block_pass, f"id {kind}, text string, n_words bigint, {FOUND}")
+        df = df.mapInArrow(lean(block_pass), f"id {kind}, text string, n_words bigint, {FOUND}")
     return df.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
@@ -219,7 +219,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, text_col: s
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
                 yield batch.filter(pa.array(keep)) if not keep.all() else batch
 
-        out = out.mapInArrow(block_pass, schema)
+        out = out.mapInArrow(lean(block_pass), schema)
     return out
 
 

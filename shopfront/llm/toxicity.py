@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, text_slices
+from .common import crc_of_id, lean, text_slices
 from .words import mix, powers
 
 #: Labelled documents that training reads at most, of each class; a fixed sample by hash. This bounds the broadcasts and what the driver gathers.
@@ -277,7 +277,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(scored_batches(shared, text_col), StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(lean(scored_batches(shared, text_col)), StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,7 +42,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             line = np.full(size, base, np.uint64)
             line[0] = 1
             made.append(np.multiply.accumulate(line))
-        if size > 1 << 23:  # one very long text: not kept
+        if size > 1 << 20:  # for one long text: not kept
             return made[0], made[1]
         _powers = (made[0], made[1])
     return _powers[0][:n], _powers[1][:n]
