@@ -9,8 +9,9 @@ that agree in LEAST coordinates meet at least once.
 Long posting lists are not paired out. First each class is compared with one class, the pivot, that it shares
 most of its lists with; a list's pivot is its most central class, the one whose coordinate values most classes have. Confirmed links join
 classes, and lists whose classes are joined are done. Later rounds take other members of a list's main component as pivots. Then the classes of lists still open are compared
-across components: the lists of one main component are a group, cut into blocks of bounded size, and a task compares the long sketches of two blocks. Only pairs
-whose sketches differ in few enough bits become rows; those that agree in enough coordinates are confirmed on the full sets.
+across components: the lists of one main component are a group, cut into blocks of a bounded number of bytes, and a task meets two blocks with their
+sketches, signatures and sets. Pairs whose sketches differ in few enough bits and that agree in enough coordinates are confirmed there on the full
+sets, unless links found before join them already. What leaves the task is a spanning forest of the links, shorter than the classes of its two blocks.
 A link inside a component changes no result, so none that matters is lost.
 
 Defined results. Null or empty text, or text without words: no shingles, component of its own, kept. With fewer words than a shingle the
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, text_slices, written
+from .common import lean, text_key, text_slices, written
 from .graph import components
 from .words import NOT_SPACE, mix, shingle_sets, words_of
 
@@ -40,8 +41,8 @@ PREFIX = COORDINATES - LEAST + 1
 #: Bits of the sketch, each from a MinHash value of its own, and by how many links may differ: P(Binomial(4096, 0.125) > 628) = 4e-8.
 SKETCH = 4096
 DIFFER = 628
-#: Classes in a block, about.
-BLOCK = 512
+#: Bytes of a block's classes, about: sketch, signature and set of each.
+BLOCK_BYTES = 1 << 23
 #: Rounds of pivots.
 ROUNDS = 2
 #: Stands for a null id.
@@ -95,7 +96,7 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ["id", "text_key", "n_shingles", "class", "signature"])
 
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    return text.mapInArrow(rows, PREPARED)
+    return text.mapInArrow(lean(rows), PREPARED)
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def shingle_tables(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
 
     text = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     # by id and text, so that copies of one text do not meet; rows that repeat give one
-    found = text.join(nodes, ["id", "text_key"]).select("node", "text").mapInArrow(rows, "node bigint, shingles array<bigint>")
+    found = text.join(nodes, ["id", "text_key"]).select("node", "text").mapInArrow(lean(rows), "node bigint, shingles array<bigint>")
     return found.dropDuplicates(["node"])
 
 
@@ -155,54 +156,72 @@ def pivot_pairs(state: DataFrame, round_: int) -> DataFrame:
     return met.groupBy("node").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot")).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
 
 
-def block_pairs(state: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components in one group whose sketches differ in DIFFER bits at most."""
+def met_links(a: "Classes", b: "Classes", same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (u, v) of the links between the classes of two blocks, or of one with itself, across components."""
+    part = np.concatenate([a.label, b.label])  # the component of each class so far
+    out = []
+    for i in range(len(a.node)):
+        fits = (part[len(a.node) :] != part[i]) & (100 * np.minimum(b.n, a.n[i]) >= PERCENT * np.maximum(b.n, a.n[i]))
+        if same:
+            fits[: i + 1] = False
+        at = np.flatnonzero(fits)
+        at = at[np.bitwise_count(b.sketch[at] ^ a.sketch[i]).sum(axis=1, dtype=np.int64) <= DIFFER]
+        at = at[(b.signature[at] == a.signature[i]).sum(axis=1) >= LEAST]
+        for j in at.tolist():
+            own, other = part[i], part[len(a.node) + j]
+            if own == other:
+                continue
+            both = len(np.intersect1d(a.set(i), b.set(j), assume_unique=True))
+            if 100 * both >= PERCENT * (a.n[i] + b.n[j] - both):
+                out.append((a.node[i], b.node[j]))
+                part[part == other] = own
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs.min(axis=1, initial=NO_ID), pairs.max(axis=1, initial=-1)
+
+
+class Classes:
+    """The classes of a block, out of its row."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.node, self.label, self.n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n"))
+        self.sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint64).reshape(len(rows), -1)
+        self.signature = rows.field("signature").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        self.sets = rows.field("shingles").flatten().to_numpy(zero_copy_only=False)
+        self.begins = np.concatenate([[0], np.cumsum(self.n)])
+
+    def set(self, i: int) -> np.ndarray:
+        return self.sets[self.begins[i] : self.begins[i + 1]]
+
+
+def links_across(state: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that join different components among the classes of open lists, confirmed; of each pair of blocks a forest."""
 
     def sketch_rows(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # rows whose values are in memory at once
                 part = batch.slice(at, 64)
                 rows = sketches([np.asarray(x.values).view(np.uint64) for x in part.column("shingles")])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "label", "n")), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "label", "n", "sketch"])
-
-    nodes = state.select("node", "label", "n").distinct().join(sets, "node")
-    sketched = nodes.select("node", "label", "n", "shingles").mapInArrow(sketch_rows, "node bigint, label bigint, n bigint, sketch binary")
-    members = state.select("main", "node").distinct()
-    groups = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(groups, "main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sketched, "node")
-    packed = written(placed.groupBy("main", "block", "blocks").agg(F.collect_list(F.struct("node", "label", "n", "sketch")).alias("rows")), "sketch-blocks")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in rows], pa.binary())], [*part.schema.names, "sketch"])
+
+    nodes = state.select("node", "label", "n").distinct().join(sets, "node").join(classes.select("node", "signature"), "node")
+    sketched = nodes.select("node", "label", "signature", "shingles").mapInArrow(lean(sketch_rows), "node bigint, label bigint, signature array<bigint>, shingles array<bigint>, sketch binary")
+    members = state.select("main", "node", "n").distinct()
+    size = 8 * F.col("n") + SKETCH // 8 + 8 * COORDINATES + 64
+    groups = members.groupBy("main").agg(F.ceil(F.sum(size) / BLOCK_BYTES).cast("int").alias("blocks"))
+    placed = members.drop("n").join(groups, "main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sketched, "node")
+    row = F.struct("node", "label", F.size("shingles").cast("bigint").alias("n"), "sketch", "signature", "shingles")
+    packed = written(placed.groupBy("main", "block", "blocks").agg(F.collect_list(row).alias("rows")), "class-blocks")
     left = packed.select("main", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"), (F.col("block")).alias("own"), F.col("rows").alias("a"))
     both = left.join(packed.select("main", "block", F.col("rows").alias("b")), ["main", "block"])
 
-    def columns(rows):
-        node, label, n = (np.array([r[c].as_py() for r in rows], np.int64) for c in ("node", "label", "n"))
-        return node, label, n, np.frombuffer(b"".join(r["sketch"].as_py() for r in rows), np.uint64).reshape(len(node), -1)
-
     def compare(batches):
         for batch in batches:
-            for a, b, own, other in zip(*(batch.column(c) for c in ("a", "b", "own", "block"))):
-                node_a, label_a, n_a, sketch_a = columns(a)
-                node_b, label_b, n_b, sketch_b = columns(b)
-                out = []
-                for i in range(len(node_a)):
-                    fits = (label_b != label_a[i]) & (100 * np.minimum(n_b, n_a[i]) >= PERCENT * np.maximum(n_b, n_a[i]))
-                    if own.as_py() == other.as_py():
-                        fits &= node_b > node_a[i]
-                    at = np.flatnonzero(fits)
-                    at = at[np.bitwise_count(sketch_b[at] ^ sketch_a[i]).sum(axis=1, dtype=np.int64) <= DIFFER]
-                    out.append(np.stack([np.minimum(node_b[at], node_a[i]), np.maximum(node_b[at], node_a[i])]))
-                u, v = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            for k in range(batch.num_rows):
+                a, b = (Classes(batch.column(c)[k].values) for c in ("a", "b"))
+                u, v = met_links(a, b, batch.column("own")[k].as_py() == batch.column("block")[k].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return both.select("a", "b", "own", "block").mapInArrow(compare, "u bigint, v bigint").distinct()
-
-
-def pairs_across(state: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components among the classes of open lists that agree in enough coordinates."""
-    met = block_pairs(state, sets)
-    sign = classes.select("node", "signature")
-    equal = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return met.join(sign.select(F.col("node").alias("u"), F.col("signature").alias("a")), "u").join(sign.select(F.col("node").alias("v"), F.col("signature").alias("b")), "v").filter(equal >= LEAST).select("u", "v")
+    return both.select("a", "b", "own", "block").mapInArrow(lean(compare), "u bigint, v bigint").distinct()
 
 
 def links(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -212,8 +231,7 @@ def links(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame |
         state = written(state.join(open_lists(state, "key"), "key"), "open-lists")
         if state.isEmpty():
             break
-        pairs = pivot_pairs(state, round_) if round_ < ROUNDS else pairs_across(state, classes, sets)
-        new = confirmed(pairs, sets)
+        new = confirmed(pivot_pairs(state, round_), sets) if round_ < ROUNDS else links_across(state, classes, sets)
         new = written(new if found is None else new.unionByName(found), "links")
         if new.isEmpty():
             # no link with a pivot says nothing about the other pairs of the lists
@@ -258,11 +276,12 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, of which one of each component stays; documents without words all stay."""
     found, _ = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    kept = found.filter("kept OR solo").select(F.coalesce("id", F.lit(NO_ID)).alias("__id"), F.col("text_key").alias("__key"), F.col("solo").alias("__solo")).distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))).withColumn("__key", text_key(text_col)).join(kept, ["__id", "__key"])
-    empty = rows.filter("__solo")
+    kept = found.filter("kept OR solo").select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.col("text_key").alias("key"), "solo").distinct()
+    # the document as one value, so that its columns may have any names
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias("id"), text_key(f"`{text_col}`").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(kept, ["id", "key"])
+    empty = rows.filter("solo")
     # several rows of one id in one component: the first by text; where no document of a component has an id, one per text
-    first = found.filter("kept AND NOT solo").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("text_key")).alias("alone")).agg(F.min("text_key").alias("__key"))
-    first = first.select(F.coalesce("component_id", F.lit(NO_ID)).alias("__id"), "__key")
-    one = rows.filter("NOT __solo").join(first, ["__id", "__key"], "left_semi")
-    return empty.select(docs.columns).unionByName(one.dropDuplicates(["__id", "__key"]).select(docs.columns))
+    first = found.filter("kept AND NOT solo").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("text_key")).alias("alone")).agg(F.min("text_key").alias("key"))
+    first = first.select(F.coalesce("component_id", F.lit(NO_ID)).alias("id"), "key")
+    one = rows.filter("NOT solo").join(first, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return empty.unionByName(one).select("doc.*")

@@ -144,3 +144,31 @@ def test_signature_agreement_follows_similarity():
     a, b = np.unique(np.concatenate([common, rest[:100]])), np.unique(np.concatenate([common, rest[100:]]))
     sign = near_dup.signatures([a, b])
     assert abs((sign[0] == sign[1]).mean() - 0.75) < 0.25
+
+
+def test_columns_of_any_name_stay(spark):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(1, text, 77, "k", True), (2, text, 78, "l", False), (None, None, 79, "m", None)], "doc_id bigint, text string, id int, key string, solo boolean")
+    got = near_dup.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, text, 77, "k", True), (None, None, 79, "m", None)], key=str)
+
+
+def test_two_blocks_give_a_forest_of_their_links():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 390 - i], rng.integers(0, 1 << 62, 10, dtype=np.uint64)])) for i in range(12)] + [np.unique(rng.integers(0, 1 << 62, 400, dtype=np.uint64)) for _ in range(3)]
+    sketch, sign = near_dup.sketches(sets), near_dup.signatures(sets)
+
+    def block(which):
+        rows = [{"node": i, "label": i, "n": len(sets[i]), "sketch": sketch[i].tobytes(), "signature": sign[i].tolist(), "shingles": sets[i].view(np.int64).tolist()} for i in which]
+        kind = pa.struct([("node", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("signature", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+        return near_dup.Classes(pa.array(rows, kind))
+
+    whole, left, right = block(range(15)), block(range(0, 15, 2)), block(range(1, 15, 2))
+    u, v = near_dup.met_links(whole, whole, True)
+    assert len(u) == 11 and (u < v).all() and set(u.tolist() + v.tolist()) == set(range(12))
+    u, v = near_dup.met_links(left, right, False)
+    assert len(u) <= 14 and set(u.tolist() + v.tolist()) == set(range(12))
