@@ -33,6 +33,8 @@ from .common import fresh_path, written
 ARCHIVE_BYTES = 256 << 20
 #: Size of a reader's range.
 RANGE_BYTES = 4 << 20
+#: Bytes of archives that a task reads, about, where there are more than a few ranges for each core.
+TASK_BYTES = 1 << 28
 #: Salts of a digest that occurs more than once.
 SALTS = 16
 #: Bytes that are read from a file at once.
@@ -207,7 +209,10 @@ def read(manifest: DataFrame, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
                     yield records(rows)
 
     ranges = manifest.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint"))).alias("begin"))
-    return ranges.repartition(F.col("path"), F.col("begin")).mapInArrow(read_ranges, RECORDS)
+    # a given number of tasks, as the rows that name the ranges are too short to be told apart by their size
+    total, count = ranges.agg(F.count("*")).first()[0] * range_bytes, ranges.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(total // range_bytes, max(4 * count, total // TASK_BYTES)))
+    return ranges.repartition(tasks, F.col("path"), F.col("begin")).mapInArrow(read_ranges, RECORDS)
 
 
 def records(rows: list[tuple]) -> pa.RecordBatch:

@@ -280,3 +280,14 @@ def test_articles_of_the_given_pages(spark):
 
 def test_pages_of_no_rows(spark):
     assert extracted(spark, []) == {}
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(1)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "".join(rng.choice("abcdefgh ") for _ in range(4000))) for i in range(200)], "page_id bigint, url string, html string")
+    manifest = warc.write(pages, str(tmp_path / "archives"), archive_bytes=1 << 17)
+    back = warc.read(manifest, range_bytes=1 << 13)
+    assert back.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 8
+    assert back.count() == 200
