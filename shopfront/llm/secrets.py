@@ -155,7 +155,9 @@ def scan(docs: DataFrame, *, text_col: str = "text", rules: list[Rule] | None =
     salt = F.explode(F.array(*map(F.lit, range(SALTS))))
     # under another name before the join, so that no column of the documents can clash
     found = candidates(docs, text_col, rules).select(F.col("text").alias("__secret_text"), F.col("rules").alias("__secret_rules"), salt.alias("__secret_salt"))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("bigint", "int", "string") and c != text_col]), F.lit(SALTS)).cast("int")
+    # any salt will do, as each has all candidates; a table of texts alone has only the place of a row to tell copies apart
+    told = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("bigint", "int", "string") and c != text_col]
+    spread = F.pmod(F.xxhash64(*told) if told else F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     rows = docs.withColumn("__secret_text", text_hash(text_col)).withColumn("__secret_salt", spread).join(found, ["__secret_text", "__secret_salt"], "left")
     text, nothing = F.coalesce(F.col(text_col), F.lit("")), F.array().cast(f"array<{SPAN}>")
     for number, rule in enumerate(rules):

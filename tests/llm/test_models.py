@@ -223,3 +223,8 @@ def test_codewords_part_all_languages():
         words = language_id.codewords(n)
         apart = (words[:, None, :] != words[None]).sum(axis=2) + np.eye(n) * 99
         assert apart.min() >= (1 if n == 2 else 2)
+
+
+def test_masked_table_of_texts_alone(spark):
+    df = spark.createDataFrame([("a password=hunter22 b",), ("a password=hunter22 b",), (None,), ("clean",)], "text string")
+    assert sorted(str(r.text) for r in secrets.mask(df).collect()) == ["None", "a [secret] b", "a [secret] b", "clean"]
