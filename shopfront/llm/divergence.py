@@ -22,21 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, removed, written
+from .common import fresh_path, lean, removed, written
 from .word_runs import word_slices
 from .words import LOWER, byte_set
 
 LETTERS = byte_set((0x61, 0x7A), (0x80, 0xFF))
 #: Bytes of text whose pointers a task sorts at a time.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 23
 #: Parts of the pointers below this size are sorted by eight characters at once.
-SMALL = 1 << 15
+SMALL = 1 << 16
 #: A term is kept in a language if so many of its documents hold it.
 LEAST = 30
 #: What each term and each source is given besides its count.
 SMOOTH = 5
 SCALE = 1_000_000_000
 TOP = 50
+#: Kept terms up to which they are broadcast to the counts; beyond, both sides are shuffled.
+BROADCAST_TERMS = 200_000
 #: Kept terms of a bucket, about, and sources of a block: a task holds 2 * BLOCK * BUCKET shares.
 BUCKET = 4096
 BLOCK = 128
@@ -44,28 +46,34 @@ BLOCK = 128
 
 # ------------------------------------------------------------------ pointers
 def eight(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The eight bytes at each place as one number, first byte highest; zero at and after the end of the term."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        here = at + k
-        byte = np.where(here < end, data[np.minimum(here, len(data) - 1)], 0).astype(np.uint64)
-        out |= byte << np.uint64(56 - 8 * k)
-    return out
+    """The eight bytes at each place as one number, first byte highest; zero at and after the end of the term. data has eight bytes to spare."""
+    every = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
+    left = np.minimum(np.maximum(end - at, 0), 8)
+    key = every[np.minimum(at, len(every) - 1)].astype(np.uint64)
+    return np.where(left > 0, key >> (8 * (8 - np.maximum(left, 1))).astype(np.uint64) << (8 * (8 - np.maximum(left, 1))).astype(np.uint64), np.uint64(0))
+
+
+def goes_on(key: np.ndarray) -> np.ndarray:
+    """Whether terms of these eight bytes may have more: terms hold no zero byte."""
+    return key & np.uint64(0xFF) != 0
 
 
-def ended(key) -> bool:
-    """Whether a term of these eight bytes ends among them: terms hold no zero byte."""
-    return int(key) & 0xFF == 0
+def edges(run: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where a new run begins, in pointers sorted by (run, key)."""
+    new = np.ones(len(key), bool)
+    new[1:] = (run[1:] != run[:-1]) | (key[1:] != key[:-1])
+    return new
 
 
 def sort_pointers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the order of the terms by their bytes, the places in it where a run of equal terms begins).
+    """(the order of the terms by their bytes, the places in it where a run of equal terms begins, and the end).
 
     Multikey quicksort with a stack in place of recursion. Within a run the pointers keep their order in the text.
     """
     order = np.arange(len(start))
     begins = np.zeros(len(start) + 1, bool)
     begins[0] = begins[-1] = True
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
     stack = [(0, len(start), 0, eight(data, start, end))] if len(start) else []
     while stack:
         lo, hi, depth, key = stack.pop()
@@ -80,22 +88,32 @@ def sort_pointers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
             a, b = lo + len(parts[0]), lo + len(parts[0]) + len(parts[1])
             begins[a] = begins[b] = True
             stack += [(x, y, depth, key[p]) for x, y, p in ((lo, a, parts[0]), (b, hi, parts[2])) if y - x > 1]
-            if b - a > 1 and not ended(pivot):
+            if b - a > 1 and goes_on(pivot):
                 stack.append((a, b, depth + 8, None))
             continue
+        # a small part: by its eight characters, then all its runs of several terms at once by the next eight
         by = np.argsort(key, kind="stable")
         order[lo:hi] = order[lo:hi][by]
-        key = key[by]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        begins[lo + edge] = True
-        size = np.diff(edge)
-        again = np.flatnonzero((size > 1) & (key[edge[:-1]] & np.uint64(0xFF) != 0))
-        stack += [(lo + int(edge[g]), lo + int(edge[g + 1]), depth + 8, None) for g in again]
+        place, key = np.arange(lo, hi), key[by]
+        new = edges(np.zeros(len(key), np.int64), key)
+        while True:
+            begins[place[new]] = True
+            run = np.cumsum(new)
+            more = goes_on(key) & (np.bincount(run)[run] > 1)
+            if not more.any():
+                break
+            place, run, depth = place[more], run[more], depth + 8
+            rows = order[place]
+            key = eight(data, start[rows] + depth, end[rows])
+            by = np.lexsort((key, run))
+            order[place] = rows[by]
+            key, run = key[by], run[by]
+            new = edges(run, key)
     return order, np.flatnonzero(begins)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Of each term and group of rows: (term, group, occurrences, rows that hold it)."""
+def runs(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, and of each term and group of rows: the term's number, the group, occurrences, rows that hold it)."""
     low = LOWER[data]
     inside = LETTERS[low]
     edge = np.zeros(len(low) + 1, bool)
@@ -105,29 +123,32 @@ def runs(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[list
     after = np.concatenate([inside[1:], [False]])
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
     if not len(start):
-        return [], *(np.zeros(0, np.int64) for _ in range(3))
+        return [], *(np.zeros(0, np.int64) for _ in range(4))
     order, begins = sort_pointers(low, start, end)
-    row = np.searchsorted(offsets, start[order], side="right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))[order]
     run = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
     # pointers of a run are in the order of the text, so a row's are neighbours
     first = np.concatenate([[True], (row[1:] != row[:-1]) | (run[1:] != run[:-1])])
     many = int(group.max()) + 1
     key = run * many + group[row]
-    keys, slot = np.unique(key, return_inverse=True)
-    occurrences = np.bincount(slot, minlength=len(keys))
-    rows = np.bincount(slot[first], minlength=len(keys))
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    occurrences = np.diff(np.append(new, len(key)))
+    rows = np.add.reduceat(first[by].astype(np.int64), new)
     head = order[begins[:-1]]
     raw = low.tobytes()
     terms = [raw[a:b] for a, b in zip(start[head].tolist(), end[head].tolist())]
-    return [terms[r] for r in (keys // many).tolist()], keys % many, occurrences.astype(np.int64), rows.astype(np.int64)
+    return terms, key[new] // many, key[new] % many, occurrences.astype(np.int64), rows
 
 
 def count_terms(batches):
     """For mapInArrow: (lang, source, text) to (lang, source, term, n, docs), partial counts."""
 
-    def out(names, terms, group, n, docs):
+    def out(names, terms, number, group, n, docs):
         pick = pa.array(group, pa.int64())
-        return pa.RecordBatch.from_arrays([names[0].take(pick), names[1].take(pick), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
+        text = pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(number, pa.int64()))
+        return pa.RecordBatch.from_arrays([names[0].take(pick), names[1].take(pick), text, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         pair = pd.MultiIndex.from_arrays([batch.column(0).to_pandas(), batch.column(1).to_pandas()])
@@ -138,9 +159,9 @@ def count_terms(batches):
             if waiting and waiting[0] != lo:
                 yield out(names, *whole(waiting, code))
                 waiting = None
-            terms, group, n, docs = runs(data, offsets, code[lo:hi])
+            terms, number, group, n, docs = runs(data, offsets, code[lo:hi])
             if hi - lo > 1:
-                yield out(names, terms, group, n, docs)
+                yield out(names, terms, number, group, n, docs)
                 continue
             held = waiting[1] if waiting else {}
             for t, k in zip(terms, n.tolist()):
@@ -156,7 +177,7 @@ LETTERS_ANY_CASE = LETTERS | byte_set((0x41, 0x5A))
 def whole(waiting: tuple[int, dict], code: np.ndarray):
     """The counts of one text, which is one document for each of its terms."""
     row, held = waiting
-    return list(held), np.full(len(held), code[row]), np.fromiter(held.values(), np.int64, len(held)), np.ones(len(held), np.int64)
+    return list(held), np.arange(len(held)), np.full(len(held), code[row]), np.fromiter(held.values(), np.int64, len(held)), np.ones(len(held), np.int64)
 
 
 # ------------------------------------------------------------------ shares
@@ -169,7 +190,7 @@ def share(n, total, kept):
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term): occurrences n and documents docs."""
-    partial = docs.mapInArrow(count_terms, "lang string, source string, term string, n bigint, docs bigint")
+    partial = docs.mapInArrow(lean(count_terms), "lang string, source string, term string, n bigint, docs bigint")
     return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -199,10 +220,13 @@ def audit(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source"
     spark = docs.sparkSession
     given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(given(lang_col).alias("lang"), given(source_col).alias("source"), given(text_col).alias("text"))
-    paths = [fresh_path(spark, name) for name in ("divergence-counts", "divergence-groups", "divergence-shares")]
+    paths = [fresh_path(spark, name) for name in ("divergence-counts", "divergence-groups", "divergence-shares", "divergence-kept", "divergence-used")]
     counts = written(term_counts(rows), "divergence-counts", paths[0])
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= least).drop("docs")
-    used = counts.drop("docs").join(kept, ["lang", "term"])
+    kept = written(kept, "divergence-kept", paths[3])
+    few = kept.count() <= BROADCAST_TERMS
+    # most terms are rare, so this is far shorter than the counts
+    used = written(counts.drop("docs").join(F.broadcast(kept) if few else kept, ["lang", "term"]), "divergence-used", paths[4])
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     # every group that occurs, numbered within its language in the order of the names
