@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, removed, written
+from .common import fresh_path, lean, removed, written
 from .word_runs import word_slices
 from .words import WORD, words_of
 
@@ -212,13 +212,13 @@ def search_block(rows: DataFrame, pairs: list[tuple], kind: str, most: int) -> D
     index = index_of(pairs)
     shared = spark.sparkContext.broadcast(index)
     path = fresh_path(spark, "term-counts")
-    counts = written(rows.mapInArrow(counted(shared), "id bigint, n bigint, terms array<int>, tfs array<bigint>"), "term-counts", path)
+    counts = written(rows.mapInArrow(lean(counted(shared)), "id bigint, n bigint, terms array<int>, tfs array<bigint>"), "term-counts", path)
     documents, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # as many rows as the block has terms
     df = {r.term: r.n for r in counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     weights = spark.sparkContext.broadcast(np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * df.get(t, 0) + 1))) for t in range(len(index.hashes))], np.int64))
     item_type = to_arrow_type(_parse_datatype_string(kind))
-    heaps = counts.mapInArrow(ranked(shared, weights, documents, total, most, item_type), f"item {kind}, id bigint, score bigint")
+    heaps = counts.mapInArrow(lean(ranked(shared, weights, documents, total, most, item_type)), f"item {kind}, id bigint, score bigint")
     merged = best(best(heaps.withColumn("part", F.spark_partition_id() % MERGES), most, "part"), most)
     out = written(merged.select("item", "rank", "id", "score"), "ranked")
     shared.destroy()

@@ -17,12 +17,12 @@ library's own rules, as its tables may be newer. An id outside the vocabulary ma
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 import sys
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import TEXT_BYTES, small_batches
+from .common import lean
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 #: Characters of a text that are split into words at a time; a run ends before white space.
 RUN = 1 << 18
 
@@ -126,12 +127,16 @@ class Vocabulary:
             n = len(symbol)
         if n < 2:
             return symbol
-        rank_of, pairs, merged = self.pairs.get, self.pairs, self.merged
+        rank_of, merged = self.pairs.get, self.merged
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(pairs[p], i) for i in range(n - 1) if (p := (symbol[i] << 32) | symbol[i + 1]) in pairs]
-        heapq.heapify(heap)
+        # an entry is rank and place in one number, so that the least rank comes first and of equal ranks the leftmost
+        heap = [(r << 32) | i for i, p in enumerate([(a << 32) | b for a, b in zip(symbol, symbol[1:])]) if (r := rank_of(p)) is not None]
+        if not heap:
+            return symbol
+        heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
+            entry = heappop(heap)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
             # stale: taken into its left neighbour, at the end, or beside another symbol by now
             if symbol[i] < 0 or j == n or rank_of((symbol[i] << 32) | symbol[j]) != rank:
@@ -141,9 +146,9 @@ class Vocabulary:
             if k < n:
                 before[k] = i
                 if (r := rank_of((symbol[i] << 32) | symbol[k])) is not None:
-                    heapq.heappush(heap, (r, i))
+                    heappush(heap, (r << 32) | i)
             if (h := before[i]) >= 0 and (r := rank_of((symbol[h] << 32) | symbol[i])) is not None:
-                heapq.heappush(heap, (r, h))
+                heappush(heap, (r << 32) | h)
         return [s for s in symbol if s >= 0]
 
     def library(self):
@@ -208,7 +213,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(encode_rows, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(encode_rows), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, *, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -226,7 +231,7 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", path: str | None = Non
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array([len(r) for r in rows], pa.int64()), pa.array(digests, pa.string())], ["id", "decoded", "n_tokens", "ids_sha256"])
 
     rows = encoded.select(F.col(id_col).alias("id"), "ids")
-    return rows.mapInArrow(decode_rows, f"id {kind}, decoded string, n_tokens bigint, ids_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(decode_rows), f"id {kind}, decoded string, n_tokens bigint, ids_sha256 string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, **how) -> DataFrame:
