@@ -31,10 +31,17 @@ def character(number: Column) -> Column:
 
 
 def replaced(col: Column, pattern: str, by) -> Column:
-    """Every match of the pattern replaced by what `by` makes of it, in one pass; text without a match is not touched."""
-    pieces, found = F.split(col, pattern, -1), F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
-    joined = F.array_join(F.zip_with(pieces, found, lambda p, m: F.concat(p, F.coalesce(by(m), F.lit("")))), "")
-    return F.when(col.rlike(pattern), joined).otherwise(col)
+    """Every match of the pattern replaced by what `by` makes of it, in one pass; text without a match is not touched.
+
+    The text is bound to a name by way of a one-entry array, so that what computes it stands in the plan once.
+    """
+
+    def swapped(text: Column) -> Column:
+        pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        joined = F.array_join(F.zip_with(pieces, found, lambda p, m: F.concat(p, F.coalesce(by(m), F.lit("")))), "")
+        return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    return F.get(F.transform(F.array(col), swapped), F.lit(0))
 
 
 def decode_numbered(col: Column) -> Column:

@@ -227,9 +227,13 @@ def jsonld_values(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 # --------------------------------------------------------------- frontier
 def contact_link_rank(pages: DataFrame, n: int = 3, key: str = "page_id") -> DataFrame:
-    """(page, href, score): same-origin links that look like contact pages, the n best per page."""
+    """(page, href, score): same-origin links that look like contact pages, the n best per page.
+
+    Links are taken from the page's html, or from `anchors` where an earlier pass has left them.
+    """
     words = "(?i)" + dims.CONTACT_WORDS
-    rows = U.url_parts(unnest_with_position(pages, [key, "url"], H.anchors(F.col("html")), "pos", "a"), "url", "b_")
+    links = F.col("anchors") if "anchors" in pages.columns else H.anchors(F.col("html"))
+    rows = U.url_parts(unnest_with_position(pages, [key, "url"], links, "pos", "a"), "url", "b_")
     raw = F.col("a.href")
     origin = F.concat(F.col("b_scheme"), F.lit("://"), F.col("b_host"), F.col("b_port"))
     absolute = (
@@ -263,7 +267,7 @@ def guessed_urls(sites: DataFrame, key: str = "business_id") -> DataFrame:
     return sites.filter(origin != "").select(key, F.posexplode(guesses).alias("pos", "g"), origin.alias("o")).select(key, "pos", F.concat("o", "g").alias("url"))
 
 
-def frontier_union(homepages: DataFrame, ranked: DataFrame, guessed: DataFrame, sitemap: DataFrame, key: str = "business_id", budget: int = 4) -> DataFrame:
+def frontier_union(homepages: DataFrame, ranked: DataFrame, guessed: DataFrame, sitemap: DataFrame | None, key: str = "business_id", budget: int = 4) -> DataFrame:
     """(business, url, ordinal): homepage, ranked links, guesses, sitemap pages that name a contact word; each URL once.
 
     Links and guesses together are at most `budget`, the sitemap adds at most two, so the
@@ -271,9 +275,13 @@ def frontier_union(homepages: DataFrame, ranked: DataFrame, guessed: DataFrame,
     """
     part = lambda df, src: df.select(key, F.lit(src).alias("src"), "pos", "url")
     links = top_per_key(part(ranked, 1).unionByName(part(guessed, 2)), [key], [F.col("src"), F.col("pos")], budget)
-    named = sitemap.filter(F.col("url").rlike("(?i)" + dims.SITEMAP_WORDS))
-    pages = top_per_key(part(named, 3), [key], [F.col("pos")], 2)
-    every = part(homepages.withColumn("pos", F.lit(0)), 0).unionByName(links).unionByName(pages)
+    # a position may be a struct: links go by score, then place
+    place = links.schema["pos"].dataType
+    every = part(homepages.withColumn("pos", F.lit(None).cast(place)), 0).unionByName(links)
+    if sitemap is not None:
+        named = top_per_key(part(sitemap.filter(F.col("url").rlike("(?i)" + dims.SITEMAP_WORDS)), 3), [key], [F.col("pos")], 2)
+        at = F.struct(F.lit(0), "pos").cast(place) if place.typeName() == "struct" else F.col("pos")
+        every = every.unionByName(named.withColumn("pos", at))
     once = first_per_key(every, [key, "url"], [F.col("src"), F.col("pos")])
     ordinal = F.row_number().over(Window.partitionBy(key).orderBy("src", "pos")) - 1
     return once.withColumn("ordinal", ordinal).select(key, "url", "ordinal")
@@ -310,27 +318,30 @@ def profile_url(platform: Column, url: Column) -> Column:
     return F.when((platform == "facebook") & single, about).otherwise(url)
 
 
-def follower_snapshot(socials: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Accounts with the saved profile page (profile_url, html, status, robots_blocked)."""
-    return socials.withColumn("profile_url", profile_url(F.col("platform"), F.col("url"))).join(profiles, "profile_url", "left")
-
-
-def follower_check_job(socials: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Accounts after a check: overrides kept, policy skips, blocked and failed fetches, else the parsed count.
-
-    Profile pages are parsed before the join, once per page and platform, so page bodies are
-    not shuffled with the accounts; accounts that need no page skip the join.
-    """
-    due = platform_policy(socials).withColumn("profile_url", profile_url(F.col("platform"), F.col("url")))
+def profile_facts(profiles: DataFrame) -> DataFrame:
+    """What is read off saved profile pages (profile_url, html, status, robots_blocked), once per page and platform; the bodies are left behind."""
     wanted = [p for p, (attempt, _) in dims.PLATFORM_POLICY.items() if attempt]
     host_platform = U.social_platform(U.strip_www(F.lower(F.regexp_extract("profile_url", r"^https?://([^/?#]+)", 1))))
     # a page is read for the platform of its host, or for every platform when the host is none of them
     kinds = F.filter(F.array(*map(F.lit, wanted)), lambda p: host_platform.isNull() | (host_platform == p))
     pages = unnest(profiles, ["profile_url", "html", "status", "robots_blocked"], kinds, "platform")
-    parsed = C.add_followers(pages, "platform", "html").select(
+    return C.add_followers(pages, "platform", "html").select(
         "profile_url", "platform", "f", F.col("status").alias("page_status"), F.col("robots_blocked").alias("page_robots"),
-        F.col("html").isNotNull().alias("has_page"))
-    df = due.join(parsed, ["profile_url", "platform"], "left")
+        F.col("html").isNotNull().alias("has_page"), F.length("html").cast("bigint").alias("page_chars"))
+
+
+def follower_snapshot(socials: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Accounts with what their saved profile page says (the columns of profile_facts; NULL where none is saved).
+
+    Pages are parsed before the join, so however many accounts name a page, its body is not shuffled.
+    """
+    due = socials.withColumn("profile_url", profile_url(F.col("platform"), F.col("url")))
+    return due.join(profile_facts(profiles), ["profile_url", "platform"], "left")
+
+
+def follower_check_job(socials: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Accounts after a check: overrides kept, policy skips, blocked and failed fetches, else the parsed count."""
+    df = follower_snapshot(platform_policy(socials), profiles)
     status = F.col("page_status")
     denied = status.isin(401, 403)
     outcome = (

@@ -233,12 +233,25 @@ def upsert(old: DataFrame, new: DataFrame, now: str, order: list[Column] | None
     return joined.select(F.coalesce("o.osm_key", "n.osm_key").alias("osm_key"), *(c.alias(k) for k, c in columns.items()))
 
 
+def add_tag_phones(pois: DataFrame) -> DataFrame:
+    """One row per entry of `phones` with (ord, raw, e164, is_mobile, confidence, reject_reason); the other columns stay."""
+    rest = [c for c in pois.columns if c != "phones"]
+    rows = C.add_phone(unnest_with_position(pois, rest, F.col("phones"), "ord", "raw"), "raw", "country_code")
+    return rows.select(*rest, "ord", "raw", "p.e164", "p.is_mobile",
+                       F.when(F.col("p.e164").isNotNull(), 70).otherwise(50).cast("bigint").alias("confidence"), "p.reject_reason")
+
+
+def add_tag_emails(pois: DataFrame) -> DataFrame:
+    """One row per entry of `emails` with (ord, address, domain, kind, confidence); the other columns stay."""
+    rest = [c for c in pois.columns if c != "emails"]
+    rows = unnest_with_position(pois, rest, F.col("emails"), "ord", "raw")
+    return rows.select(*rest, "ord", F.lower("raw").alias("address"), F.lower(F.get(F.split("raw", "@"), F.lit(1))).alias("domain"),
+                       F.lit("role").alias("kind"), F.lit(60).cast("bigint").alias("confidence"))
+
+
 def poi_phones(pois: DataFrame) -> DataFrame:
     """(osm_key, ord, raw, e164, is_mobile, confidence, reject_reason) of the phone tags."""
-    rows = unnest_with_position(pois, ["osm_key", "country_code"], F.col("phones"), "ord", "raw")
-    rows = C.add_phone(rows, "raw", "country_code")
-    return rows.select("osm_key", "ord", "raw", "p.e164", "p.is_mobile",
-                       F.when(F.col("p.e164").isNotNull(), 70).otherwise(50).cast("bigint").alias("confidence"), "p.reject_reason")
+    return add_tag_phones(pois.select("osm_key", "country_code", "phones")).drop("country_code")
 
 
 def insert_phones(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -248,9 +261,7 @@ def insert_phones(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def poi_emails(pois: DataFrame) -> DataFrame:
-    rows = unnest_with_position(pois, ["osm_key"], F.col("emails"), "ord", "raw")
-    return rows.select("osm_key", "ord", F.lower("raw").alias("address"), F.lower(F.get(F.split("raw", "@"), F.lit(1))).alias("domain"),
-                       F.lit("role").alias("kind"), F.lit(60).cast("bigint").alias("confidence"))
+    return add_tag_emails(pois.select("osm_key", "emails"))
 
 
 def insert_emails(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -192,6 +192,10 @@ SELECT id AS doc_id, 200 AS status,
   || {text('id + 1')} || '}}}}]}}}}' AS body
 FROM {{fx_poi_cols}}"""
 
+# a second run: other businesses under partly the same keys
+FIXTURES["fx_poi_cols_2"] = FIXTURES["fx_poi_cols"].replace("SELECT c_custkey AS k, c_name FROM {customer}", "SELECT s_suppkey * 37 AS k, s_name AS c_name FROM {supplier}")
+FIXTURES["fx_poi_doc_2"] = FIXTURES["fx_poi_doc"].replace("{fx_poi_cols}", "{fx_poi_cols_2}")
+
 _bodies = [
     "", "   ", "<!DOCTYPE html><html><body>Error</body></html>",
     "<html><body>OSM3S Response Error : runtime error: Query timed out in \"query\" at line 3.</body></html>",
@@ -322,6 +326,47 @@ SELECT page_id, '<urlset><url><loc>https://a.test/contact' || {text('page_id')}
   || url || '&amp;b=2 </LOC></url><sitemap><loc>ftp://a.test/x</loc></sitemap></urlset>' AS xml
 FROM {{pages}}"""
 
+# Sites of several saved pages: the first page of an origin is the homepage, which links to the last and to one between. Those may
+# have the usual contact address, so that they are found by guessing, or one that only the sitemap names.
+_origin = "regexp_extract(url, '^https?://[^/?#]+', 0)"
+FIXTURES["fx_origin"] = f"""
+SELECT {_origin} AS origin, min(page_id) AS first_page, max(page_id) AS last_page, max(CASE WHEN page_id % 3 = 1 THEN page_id END) AS mid_page
+FROM {{pages}} GROUP BY {_origin}"""
+FIXTURES["fx_site_page"] = """
+SELECT p.page_id, CASE WHEN page_id <> first_page AND page_id = last_page AND first_page % 3 = 0 THEN origin || '/contact'
+    WHEN page_id <> first_page AND page_id = last_page AND first_page % 3 = 1 THEN origin || '/en/team' WHEN page_id <> first_page AND page_id = mid_page AND first_page % 4 = 2 THEN origin || '/about'
+    ELSE url END AS url, host,
+  CASE WHEN page_id = first_page THEN replace(html, '</footer>', '<a href="/contact">Contact us</a><a href="' || last_url || '">Our team</a><a href="'
+    || coalesce(mid_url, '/none') || '">About</a><a href="https://elsewhere.example.com/contact">Contact</a></footer>') ELSE html END AS html,
+  CAST(CASE WHEN page_id % 3 = 0 THEN 200 ELSE status END AS INTEGER) AS status, CASE WHEN page_id % 3 <> 0 THEN error_kind END AS error_kind,
+  CASE WHEN page_id % 3 <> 0 THEN redirect_host END AS redirect_host, hops, robots_blocked, server, content_type, fetched_at
+FROM {fx_page} p JOIN {fx_origin} o ON regexp_extract(p.url, '^https?://[^/?#]+', 0) = o.origin
+  JOIN (SELECT page_id AS l, url AS last_url FROM {pages}) x ON x.l = o.last_page LEFT JOIN (SELECT page_id AS m, url AS mid_url FROM {pages}) y ON y.m = o.mid_page"""
+FIXTURES["fx_site"] = f"""
+SELECT first_page AS id, origin AS name, CASE WHEN first_page % 11 <> 5 THEN url END AS website_url,
+  {pick('first_page % 3', ['gb', None, 'de'])} AS country_code
+FROM {{fx_origin}} o JOIN {{pages}} p ON p.page_id = o.first_page"""
+FIXTURES["fx_site_email"] = f"""
+SELECT first_page AS id, first_page AS business_id, 'info@shop' || {text('first_page')} || '.co.uk' AS address, 'role' AS kind,
+  CAST(60 AS BIGINT) AS confidence, 'osm' AS source FROM {{fx_origin}} WHERE first_page % 2 = 0"""
+FIXTURES["fx_site_phone"] = """
+SELECT first_page AS id, first_page AS business_id, '020 7946 0000' AS raw, CASE WHEN first_page % 2 = 0 THEN '+442079460000' END AS e164,
+  CAST(70 AS BIGINT) AS confidence, 'osm' AS source FROM {fx_origin} WHERE first_page % 5 = 0"""
+FIXTURES["fx_site_social"] = f"""
+SELECT first_page AS id, first_page AS business_id, 'facebook' AS platform, 'Shop' || {text('first_page')} AS handle_normalized,
+  'https://facebook.com/old' AS url, 'Shop' || {text('first_page')} AS handle, CAST(7 AS BIGINT) AS followers, 'known' AS followers_state,
+  CAST(NULL AS STRING) AS followers_reason, CAST(NULL AS BIGINT) AS manual_override, false AS has_video
+FROM {{fx_origin}} WHERE first_page % 3 = 1 OR first_page % 11 = 5"""
+FIXTURES["fx_site_robots"] = f"""
+SELECT regexp_extract(origin, '^https?://(.*)$', 1) AS domain,
+  min({pick('first_page % 4', ['User-agent: *', 'User-agent: *~Disallow: /en/team', 'User-agent: *~Disallow: /about', 'User-agent: *~Disallow: /nothing'])}) || '~Sitemap: '
+    || min(origin) || '/sitemap.xml' AS body, max(CASE WHEN first_page % 13 = 0 THEN 404 ELSE 200 END) AS status
+FROM {{fx_origin}} GROUP BY regexp_extract(origin, '^https?://(.*)$', 1)"""
+FIXTURES["fx_site_map"] = """
+SELECT origin || '/sitemap.xml' AS url, '<urlset><url><loc>' || origin || '/shop/1</loc></url><url><loc>' || origin || '/en/team</loc></url><url><loc>'
+  || origin || '/about</loc></url><url><loc>' || origin || '/contact/late</loc></url></urlset>' AS xml
+FROM {fx_origin}"""
+
 _profile = [
     "{\"subscriberCountText\":{\"simpleText\":\"1.2K subscribers\"},\"videoId\":\"x\"}", "{\"followerCount\":~,\"videoCount\": 3}",
     "<meta property=\"og:description\" content=\"~ followers, 3,4M likes\">", "{\"edge_followed_by\":{\"count\":~}}",
@@ -356,6 +401,13 @@ FIXTURES["fx_place_request"] = """
 SELECT c_custkey AS request_id, '  ' || n_name || '   Town ' AS location_text
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""
 
+# searches: a whole number and a word, the beginning of a number with the beginning of a word, words alone that nobody has, and a few signs
+FIXTURES["fx_search"] = f"""
+SELECT c_custkey AS query_id, CASE WHEN c_custkey % 500 = 7 THEN ' & ' WHEN c_custkey % 500 = 8 THEN '%' WHEN c_custkey % 4 = 0 THEN 'CUSTOMER, ' || substr(c_name, 10)
+    WHEN c_custkey % 4 = 1 THEN substr(c_name, 10, 8) || ' ' || {pick('c_custkey % 6', ['din', 'caf', 'Salon', 'gar', 'plumb heat', 'x'])}
+    WHEN c_custkey % 4 = 2 THEN 'high st ' || substr(c_name, 10, 8) ELSE 'nobody ' || {text('c_custkey')} END AS q
+FROM {{customer}}"""
+
 FIXTURES["fx_merge"] = """
 SELECT c_custkey AS drop_id, c_custkey - 1 AS keep_id FROM {customer} WHERE c_custkey % 10 = 7"""
 FIXTURES["fx_delete"] = "SELECT c_custkey AS id FROM {customer} WHERE c_custkey % 9 = 4"

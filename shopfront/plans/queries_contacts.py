@@ -11,6 +11,8 @@ from ..functions import html as H
 from ..operators import enrichment as E
 from ..operators import leads as L
 from ..operators.ordered import first_per_key, insert_new
+from ..operators.site_enrichment import enrich_sites
+from ..operators.workspace import Workspace
 from ..session import shared_dir
 from . import oracle_tables as O
 from .registry import query
@@ -179,11 +181,6 @@ def _(t):
 _about = "CASE WHEN platform = 'facebook' THEN url || '/about' ELSE url END"
 
 
-@query("C11_follower_snapshot", f"SELECT s.id, p.profile_url, p.status FROM (SELECT *, {_about} AS profile_url FROM fx_social) s JOIN (SELECT profile_url, max(status) AS status FROM fx_profile GROUP BY profile_url) p USING (profile_url)")
-def _(t):
-    return E.follower_snapshot(t.social.select("id", "platform", "url"), t.profile.groupBy("profile_url").agg(F.max("status").alias("status"))).select("id", "profile_url", "status")
-
-
 _count = {
     "youtube": "CASE WHEN html LIKE '%subscriberCountText%' THEN 1200 END", "tiktok": r"try_cast(regexp_extract(html, '\"followerCount\":(\d+)', 1) AS BIGINT)",
     "facebook": r"coalesce(try_cast(nullif(regexp_extract(html, '\"followerCount\":(\d+)', 1), '') AS BIGINT), try_cast(nullif(regexp_extract(html, 'content=\"(\d+) followers', 1), '') AS BIGINT), CASE WHEN html LIKE '%12,345 likes%' THEN 12345 END)",
@@ -199,6 +196,18 @@ _parse_sql = f"""SELECT *, CASE WHEN n IS NOT NULL THEN 'known' WHEN skip IS NOT
   FROM (SELECT s.*, p.html, p.status, p.robots_blocked, {_parsed_n} AS n, {_parsed_wall} AS wall, {_policy} AS skip FROM fx_social s JOIN fx_profile p ON p.social_id = s.id)"""
 
 
+# one saved page per address, that of the least account
+_saved = "(SELECT profile_url, arg_min(html, social_id) AS html, arg_min(status, social_id) AS status FROM fx_profile GROUP BY profile_url)"
+
+
+@query("C11_follower_snapshot", f"""SELECT id, profile_url, page_status, page_chars, n AS followers FROM (SELECT s.id, s.profile_url, p.status AS page_status, length(p.html) AS page_chars,
+  {_parsed_n} AS n FROM (SELECT *, {_about} AS profile_url FROM fx_social WHERE platform IN ({", ".join(f"'{p}'" for p in _count)})) s LEFT JOIN {_saved} p USING (profile_url))""")
+def _(t):
+    saved = first_per_key(t.profile.withColumn("robots_blocked", F.col("robots_blocked") == 1), ["profile_url"], [F.col("social_id")])
+    df = E.follower_snapshot(t.social.filter(F.col("platform").isin(list(_count))), saved)
+    return df.select("id", "profile_url", "page_status", "page_chars", F.col("f.followers").alias("followers"))
+
+
 @query("J16_followers_parse", f"SELECT id, n AS followers, state, reason, video AS has_video FROM ({_parse_sql})")
 def _(t):
     df = t.social.select("id", "platform").join(t.profile.withColumnRenamed("social_id", "id"), "id")
@@ -271,3 +280,21 @@ def _chain_sql() -> str:
 @query("K8_pages_to_leads", _chain_sql())
 def _(t):
     return pages_to_leads(t).select("id", "site_state", "has_phone", "has_email", "has_social", "enrichment_stage", "score")
+
+
+# ---------------------------------------------------------- sites as a whole
+def site_tables(t) -> dict:
+    """The inputs of a site enrichment: leads, pages as a probe sees them, what is known already, robots files and sitemaps."""
+    from .queries_pages import probe_view
+
+    saved = Workspace(t.spark, "saved-pages").written(probe_view(t.site_page), "pages")
+    return {"leads": t.site, "pages": saved, "emails": t.site_email, "phones": t.site_phone, "socials": t.site_social,
+            "robots": t.site_robots.withColumn("body", F.replace("body", F.lit("~"), F.lit("\n"))), "sitemaps": t.site_map}
+
+
+@query("X1_site_enrichment")
+def _(t):
+    tables = enrich_sites(**site_tables(t))
+    visits = tables["visits"].groupBy(F.col("business_id").alias("id")).agg(F.count("*").alias("n_visits"), F.count("page_id").alias("n_pages"))
+    return tables["leads"].join(visits, "id", "left").select(
+        "id", "site_state", "enrichment_stage", "email_state", "has_phone", "has_email", "has_social", "email", "phone_e164", "score", "n_visits", "n_pages")
