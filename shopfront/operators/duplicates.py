@@ -7,10 +7,11 @@ in a table no longer than the leads. The page of pairs people look at is read fr
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
+from .near_counts import within_reach
 
 COLUMNS = ["business_id", "reason", "n_partners", "group_id"]
 
@@ -34,38 +35,16 @@ def same_domain(k: DataFrame) -> DataFrame:
         F.col("id").alias("business_id"), F.lit("same_domain").alias("reason"), (F.col("n") - 1).alias("n_partners"), "group_id")
 
 
-def cell(col: str) -> Column:
-    """Grid index. Cells are a little wider than the reach, so rounding never skips a neighbour."""
-    return F.floor(F.col(col) / (dims.NEAR_DEGREES * 1.001)).cast("bigint")
-
-
-def _near(places: DataFrame, keys: list[str]) -> DataFrame:
-    """Per place (keys + lat/lon, with n and least): leads within reach, itself included, and their least id.
-
-    Places are distinct positions, so any number of leads at one spot is one row. Each place
-    looks into its own and the 8 neighbouring cells by an equi join and an exact test.
-    """
-    places = places.withColumns({"cy": cell("lat"), "cx": cell("lon")})
-    around = F.flatten(F.array(*(F.array(*(F.struct((F.col("cy") + dy).alias("cy"), (F.col("cx") + dx).alias("cx"))
-                                           for dx in (-1, 0, 1))) for dy in (-1, 0, 1))))
-    here = places.select(*keys, F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.explode(around).alias("c")).select(
-        *keys, "a_lat", "a_lon", "c.cy", "c.cx")
-    hits = here.join(places, [*keys, "cy", "cx"]).filter(
-        (F.abs(F.col("a_lat") - F.col("lat")) < dims.NEAR_DEGREES) & (F.abs(F.col("a_lon") - F.col("lon")) < dims.NEAR_DEGREES))
-    return hits.groupBy(*keys, F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).agg(
-        F.sum("n").alias("reach"), F.min("least").alias("least"))
-
-
 def same_name_nearby(k: DataFrame) -> DataFrame:
     """Partners by name and place that are not already partners by key.
 
-    Counted as all leads of the name in reach, less those in reach that share the key.
+    Counted as all leads of the name in reach, less those in reach that share the key. Leads at one spot are one place.
     """
     k = k.filter("lat IS NOT NULL AND lon IS NOT NULL AND name IS NOT NULL")
     place = ["name", "lat", "lon"]
     count = lambda keys: k.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    everyone = _near(count(place), ["name"]).withColumnRenamed("least", "group_id")
-    same = _near(count([*place, "key"]).filter("key IS NOT NULL"), ["name", "key"]).select(*place, "key", F.col("reach").alias("same_reach"))
+    everyone = within_reach(count(place), ["name"], dims.NEAR_DEGREES).withColumnRenamed("least", "group_id")
+    same = within_reach(count([*place, "key"]).filter("key IS NOT NULL"), ["name", "key"], dims.NEAR_DEGREES).select(*place, "key", F.col("reach").alias("same_reach"))
     df = k.join(everyone, place).join(same, [*place, "key"], "left")
     n = F.col("reach") - F.coalesce("same_reach", F.lit(1))
     return df.select(F.col("id").alias("business_id"), F.lit("same_name_nearby").alias("reason"), n.alias("n_partners"), "group_id").filter(
@@ -91,8 +70,8 @@ def duplicate_page(leads: DataFrame, n: int = 200, faithful: bool = False) -> Da
     by_key = k.join(last_of_key, "key").filter("id < last").select("id")
     place = ["name", "lat", "lon"]
     spots = k.filter("lat IS NOT NULL AND lon IS NOT NULL AND name IS NOT NULL")
-    # the greatest id in reach, by the same cells: least of the negated ids
-    far = _near(spots.groupBy(*place).agg(F.count("*").alias("n"), F.min(-F.col("id")).alias("least")), ["name"])
+    # the greatest id in reach: least of the negated ids
+    far = within_reach(spots.groupBy(*place).agg(F.count("*").alias("n"), F.min(-F.col("id")).alias("least")), ["name"], dims.NEAR_DEGREES)
     by_name = spots.join(far, place).filter(F.col("id") < -F.col("least")).select("id")
     first = by_key.unionByName(by_name).distinct().orderBy("id").limit(n)
     a = F.broadcast(k.join(F.broadcast(first), "id")).alias("a")

@@ -6,9 +6,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
 from .leads import denorm, scored
 from .ordered import insert_new, previous
+from .workspace import Workspace
 
 
 def final_targets(pairs: DataFrame) -> DataFrame:
@@ -17,13 +17,8 @@ def final_targets(pairs: DataFrame) -> DataFrame:
     A lead dropped twice goes to the smaller of its targets. Chains are followed by doubling, so a chain of n
     merges takes about log2(n) rounds; leads that are merged in a circle have no target and raise an error.
     """
-    spark = pairs.sparkSession
-
-    def written(df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(spark).rstrip('/')}/merge-targets-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    ws = Workspace(pairs.sparkSession, "merge-targets")
+    written = lambda df: ws.written(df, uuid.uuid4().hex)
     moves = written(pairs.filter("drop_id <> keep_id").groupBy("drop_id").agg(F.min("keep_id").alias("keep_id")))
     for _ in range(moves.count().bit_length() + 1):
         onward = moves.select(F.col("drop_id").alias("keep_id"), F.col("keep_id").alias("_next"))
@@ -93,7 +88,7 @@ def manual_override(socials: DataFrame, edits: DataFrame) -> DataFrame:
 
 def stage_events(leads: DataFrame, edits: DataFrame) -> DataFrame:
     """Pipeline events of ordered stage edits; an edit to the stage already held emits nothing."""
-    before = previous(edits, ["business_id"], [F.col("at"), F.col("id")], "to_stage", F.date_trunc("day", "at"), "_before")
+    before = previous(edits, ["business_id"], [F.col("at"), F.col("id")], "to_stage", None, "_before")
     current = leads.select(F.col("id").alias("business_id"), "pipeline_stage")
     rows = before.join(current, "business_id").withColumn("from_stage", F.coalesce("_before", "pipeline_stage"))
     return rows.filter("from_stage <> to_stage").select("id", "business_id", "at", "from_stage", "to_stage")

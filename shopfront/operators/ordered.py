@@ -11,14 +11,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import Workspace
+
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, out: str) -> DataFrame:
-    """Adds the 1-based position of each row within its key. `bucket` must rise with the order."""
-    df = df.withColumn("_bucket", bucket)
+def bucketed(df: DataFrame, keys: list[str], order: list[Column], bucket: Column | None) -> DataFrame:
+    """Adds _bucket, which rises with the order within each key.
+
+    Without a given one the rows are dealt into ranges of (keys, order) between sampled splitters, about equally many rows in each,
+    so that a key with most of the rows, even with all of them in one hour, is cut into many. The dealt rows are
+    written, as a second sample would cut elsewhere.
+    """
+    if bucket is not None:
+        return df.withColumn("_bucket", bucket)
+    # a given number, so that adaptive execution does not put ranges together again
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *(F.col(k) for k in keys), *order).withColumn("_bucket", F.spark_partition_id())
+    return Workspace(df.sparkSession, "ranges").written(dealt, "rows")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column | None, out: str) -> DataFrame:
+    """Adds the 1-based position of each row within its key. `bucket` must rise with the order; None takes sampled ranges."""
+    df = bucketed(df, keys, order, bucket)
     sizes = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -29,9 +46,9 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column
                          (F.col("_before") + F.col("_local")).cast("bigint").alias(out))
 
 
-def previous(df: DataFrame, keys: list[str], order: list[Column], value: str, bucket: Column, out: str) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: list[Column], value: str, bucket: Column | None, out: str) -> DataFrame:
     """Adds the value of the row before in the same key, NULL on the first row of the key."""
-    df = df.withColumn("_bucket", bucket)
+    df = bucketed(df, keys, order, bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = df.withColumns({"_prev": F.lag(value).over(inside), "_local": F.row_number().over(inside)})
     last = df.groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_last"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.score import known_followers
+from .folds import moving_average
 from .ordered import left_join_known, numbered
 
 STAGE_METRICS = ["contacted", "replied", "won", "lost"]
@@ -151,7 +152,7 @@ def day_list_order(bucket: str) -> list[Column]:
 def task_position(new_tasks: DataFrame, tasks: DataFrame) -> DataFrame:
     """Next positions on the due day: after the highest one there, in order of arrival."""
     top = tasks.groupBy("due_date").agg(F.max("position").alias("_top"))
-    rows = numbered(new_tasks, ["due_date"], [F.col("id")], F.floor(F.col("id") / 100000), "_nth")
+    rows = numbered(new_tasks, ["due_date"], [F.col("id")], None, "_nth")
     return rows.join(top, "due_date", "left").withColumn("position", F.coalesce("_top", F.lit(0)) + F.col("_nth")).drop("_top", "_nth")
 
 
@@ -201,48 +202,12 @@ def since_last_success(log: DataFrame, key: str, at: list[str]) -> DataFrame:
     return last.drop("_last_ok").join(tail, key, "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
 
 
-def latency_average(log: DataFrame, key: str, at: list[str], bucket: Column) -> DataFrame:
-    """Moving average of ms over the successes of each key: x' = round(0.7 x + 0.3 ms), starting at the first ms.
-
-    The rounding makes the fold sequential, so a key is cut into time buckets. One step is a
-    rising function of x that shrinks distances to 0.7 of their size plus a rounding error, so
-    after a long bucket only a few results are possible: the bucket is kept as its lowest
-    result and, for each higher one, the smallest x that leads to it. Short buckets (up to
-    64 successes) are kept as they are. The last fold runs over one small row per bucket.
-    """
-    step = lambda x, ms: F.floor((7 * x + 3 * ms + 5) / 10).cast("bigint")
-    back = lambda y, ms: F.ceil((10 * y - 5 - 3 * ms) / 7).cast("bigint")
-    good = log.filter("ok").withColumn("_bucket", bucket)
-    top = good.groupBy(key).agg(F.max("ms").alias("_top"))
-    grouped = good.groupBy(key, "_bucket").agg(F.sort_array(F.collect_list(F.struct(*at, "ms"))).alias("_rows"))
-    parts = grouped.join(top, key).withColumn("_ms", F.transform("_rows", lambda r: r["ms"]))
-    is_long = F.size("_ms") > 64
-    parts = parts.withColumns({
-        "_low": F.when(is_long, F.aggregate("_ms", F.lit(0).cast("bigint"), step)),
-        "_high": F.when(is_long, F.aggregate("_ms", F.col("_top"), step)),
-    })
-    steps = F.when(F.col("_high") > F.col("_low"), F.transform(
-        F.sequence(F.col("_low") + 1, F.col("_high")), lambda y: F.aggregate(F.reverse("_ms"), y, back)))
-    parts = parts.select(key, "_bucket", F.struct(
-        F.when(~is_long, F.col("_ms")).alias("ms"), F.get("_ms", F.lit(0)).alias("first"), F.slice("_ms", 2, 64).alias("rest"),
-        F.size("_ms").alias("n"), F.col("_low").alias("low"), F.coalesce(steps, F.array().cast("array<bigint>")).alias("steps"),
-        F.when(is_long, F.aggregate(F.slice("_ms", 2, F.size("_ms")), F.get("_ms", F.lit(0)), step)).alias("alone")).alias("p"))
-    whole = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_bucket", "p"))).alias("parts"))
-    def through(x: Column, part: Column) -> Column:
-        p = part["p"]
-        started = F.when(p["ms"].isNotNull(), F.aggregate(p["ms"], x, step)).otherwise(
-            p["low"] + F.size(F.filter(p["steps"], lambda s: x >= s)).cast("bigint"))
-        fresh = F.when(p["ms"].isNotNull(), F.aggregate(p["rest"], p["first"], step)).otherwise(p["alone"])
-        return F.when(x.isNull(), fresh).otherwise(started)
-    return whole.select(key, F.aggregate("parts", F.lit(None).cast("bigint"), through).alias("avg_ms"))
-
-
 def source_health(log: DataFrame) -> DataFrame:
     """Successes, current failures, average latency, last element count and cooldown of every source."""
     at = ["ts", "id"]
     base = since_last_success(log, "source", at)
     last = log.filter("ok").groupBy("source").agg(F.max_by("n_elements", F.struct(*at)).alias("last_n_elements"))
-    avg = latency_average(log, "source", at, F.date_trunc("hour", "ts"))
+    avg = moving_average(log.filter("ok"), "source", at)
     df = base.join(last, "source", "left").join(avg, "source", "left")
     return df.withColumn("cooldown_min", F.when(F.col("failures") > 0, F.least(F.lit(30), 5 * F.col("failures"))).otherwise(0))
 

@@ -201,6 +201,19 @@ def _(t):
     return out
 
 
+_words = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+@query("B15_lead_search_batch", f"""SELECT query_id, id FROM (SELECT query_id, trim(q) AS q, {_words.format('q')} AS begins FROM fx_search) s JOIN
+  (SELECT id, name, {_words.format("name || ' ' || coalesce(address_line, '')")} AS words FROM fx_business) b ON CASE WHEN len(begins) = 0 THEN name ILIKE '%' || q || '%'
+  ELSE len(list_filter(begins, lambda w: len(list_filter(words, lambda x: starts_with(x, w))) = 0)) = 0 END""")
+def _(t):
+    from ..operators.lead_index import LeadIndex
+    from ..operators.workspace import Workspace
+
+    return LeadIndex(t.spark, Workspace(t.spark, "lead-index").path).build(t.business).search(t.search)
+
+
 FEED_COLS = ["id", "name", "score", "has_website", "phone", "email", "has_video", "followers_total", "pipeline_stage"]
 
 

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import urls as U
+from ..operators import cubes as CU
 from ..operators import stats as S
+from ..operators import temporal as TJ
+from ..operators.ordered import left_join_known
 from . import oracle_tables as O
 from .fixtures import TODAY
 from .registry import query
@@ -142,3 +145,39 @@ def _(t):
     day = U.local_day(F.col("ts"))
     return t.events.select(F.col("event_id").alias("id"), day.cast("string").alias("day"), F.date_add(day, -6).cast("string").alias("week_start"),
                            F.date_add(day, 30).cast("string").alias("until"))
+
+
+# ------------------------------------------------------------ joins in time
+@query("X3_stage_held", """SELECT a.id, e.to_stage AS stage FROM fx_activity a ASOF LEFT JOIN (SELECT business_id, "at", arg_max(to_stage, id) AS to_stage FROM fx_stage_edit GROUP BY ALL) e
+  ON a.business_id = e.business_id AND e."at" <= a."at" """)
+def _(t):
+    return TJ.asof_join(t.activity, t.stage_edit, ["business_id"], "at", "at", ["to_stage"], "id").select("id", F.col("to_stage").alias("stage"))
+
+
+@query("X4_activity_during_tasks", """SELECT t.id, count(a.id) AS n FROM fx_task t LEFT JOIN fx_activity a ON a.business_id = t.business_id AND a."at" >= t.created_at AND (t.done_at IS NULL OR a."at" < t.done_at) GROUP BY t.id""")
+def _(t):
+    return TJ.count_during(t.task, t.activity, ["business_id"], "id", "created_at", "done_at", "at")
+
+
+@query("X4_activity_of_waiting_tasks", """SELECT t.id AS task_id, a.id AS activity_id FROM fx_task t JOIN fx_activity a ON a.business_id = t.business_id AND a."at" >= t.created_at AND a."at" < t.created_at + INTERVAL 5 DAY
+  WHERE t.status IN ('open', 'snoozed')""")
+def _(t):
+    waiting = t.task.filter(F.col("status").isin("open", "snoozed")).select(
+        F.col("id").alias("task_id"), "business_id", "created_at", (F.col("created_at") + F.expr("INTERVAL 5 DAYS")).alias("until"))
+    met = TJ.during(waiting, t.activity.select(F.col("id").alias("activity_id"), "business_id", "at"), ["business_id"], "created_at", "until", "at")
+    return met.select("task_id", "activity_id")
+
+
+_act = "(SELECT a.business_id, a.day, date_trunc('week', a.day)::DATE AS week, date_trunc('month', a.day)::DATE AS month, b.category FROM fx_activity a LEFT JOIN fx_business b ON b.id = a.business_id)"
+_levels = " UNION ALL ".join(
+    f"SELECT '{name}' AS level, {', '.join((c if c in cs else 'NULL') + '::VARCHAR AS ' + c for c in ('day', 'week', 'month', 'category'))}, count(*) AS n, count(DISTINCT business_id) AS exact, true AS within"
+    f" FROM {_act}" + (f" GROUP BY {', '.join(cs)}" if cs else "") for name, cs in CU.LEVELS.items())
+
+
+@query("X5_activity_cube", _levels)
+def _(t):
+    activity = left_join_known(t.activity.select("business_id", "day"), t.business.select(F.col("id").alias("business_id"), "category"), "business_id")
+    cube = CU.activity_cube(activity)
+    # four standard errors; small sets are counted all but exactly
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * CU.ERROR * F.col("exact"))
+    return cube.select("level", *(F.col(c).cast("string").alias(c) for c in ("day", "week", "month", "category")), "n", "exact", within.alias("within"))
