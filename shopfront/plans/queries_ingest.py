@@ -9,6 +9,8 @@ from ..operators import poi as P
 from ..operators import robots as R
 from ..operators import stats as S
 from ..operators import tiles as TL
+from ..operators.discovery import Store, discover
+from ..operators.workspace import Workspace
 from ..sources import tables as T
 from . import oracle_tables as O
 from .fixtures import NOW
@@ -48,7 +50,9 @@ def _(t):
 
 @query("A5_activity_source", """SELECT id, kind, business_id, day::VARCHAR AS day, json_extract_string(meta, '$.toStage') AS to_stage FROM fx_activity""")
 def _(t):
-    df = t.activity
+    saved = Workspace(t.spark, "activity-log")
+    saved.written(t.activity.withColumn("at", F.col("at").cast("timestamp")), "log")
+    df = T.read_activity(t.spark, f"{saved.path}/log")
     return df.select("id", "kind", "business_id", F.col("day").cast("string").alias("day"), F.get_json_object("meta", "$.toStage").alias("to_stage"))
 
 
@@ -97,9 +101,9 @@ def _(t):
     return df.select("id", join(P.multi_value(F.col("t_phone"))).alias("phones"), F.size(P.multi_value(F.col("t_email"))).cast("bigint").alias("n_emails"))
 
 
-@query("B5_first_tag", "SELECT id, coalesce(nullif(trim(t_city), ''), nullif(trim(t_town), ''), nullif(trim(t_village), '')) AS place FROM fx_poi_cols")
+@query("B5_first_tag", "SELECT id, coalesce(nullif(trim(t_city), ''), nullif(trim(t_town), ''), nullif(trim(t_village), '')) AS place FROM fx_poi_cols UNION ALL SELECT -(id + 1), NULL FROM fx_poi_cols")
 def _(t):
-    return pois(t).filter("id >= 0").select("id", P.first_tag(["addr:city", "addr:town", "addr:village"]).alias("place"))
+    return pois(t).select("id", P.first_tag(["addr:city", "addr:town", "addr:village"]).alias("place"))
 
 
 @query("B6_poi_contacts", "SELECT osm_key, array_to_string(phones, '|') AS phones, array_to_string(emails, '|') AS emails FROM or_poi")
@@ -372,3 +376,20 @@ def _(t):
   lambda u: regexp_matches(u, '(?i)^https?://')), '|') AS urls FROM fx_sitemap""")
 def _(t):
     return t.sitemap.select("page_id", join(R.sitemap_urls(F.col("xml"))).alias("urls"))
+
+
+# ---------------------------------------------------------- discovery as a whole
+def discovery_batches(t):
+    """Two runs of saved documents with their countries: the second meets some of the businesses of the first."""
+    saved = Workspace(t.spark, "documents")
+    run = lambda docs, q: saved.written(docs, f"run-{q}").select("doc_id", "status", "body", F.lit(q).alias("query_id"), F.when(F.col("doc_id") % 2 == 0, "gb").alias("country_hint"))
+    return [(run(t.poi_doc, 1), "2024-01-30 12:00:00"), (run(t.poi_doc_2, 2), "2024-01-31 12:00:00")]
+
+
+@query("X2_discovery")
+def _(t):
+    store = Store(t.spark, Workspace(t.spark, "discovery-store").path, 16)
+    for docs, now in discovery_batches(t):
+        discover(docs, store, now)
+    runs = store.links.read().groupBy("osm_key").agg(F.count("*").alias("n_runs"))
+    return store.leads.read().join(runs, "osm_key").select("osm_key", "name", "category", "site_state", "website_url", "has_phone", "has_email", "has_social", "email", "phone_e164", "score", micros("first_seen_at"), "n_runs")

@@ -7,6 +7,7 @@ from .. import dims
 from ..functions import site as ST
 from ..functions import urls as U
 from ..operators import enrichment as E
+from ..operators.workspace import Workspace
 from ..sources import tables as T
 from . import oracle_tables as O
 from .fixtures import NOW
@@ -24,7 +25,9 @@ def all_urls(t):
 
 @query("A3_page_source", "SELECT page_id, url, status, content_type FROM fx_page WHERE regexp_matches(content_type, '(?i)text/html|application/xhtml')")
 def _(t):
-    return T.html_pages(t.page).select("page_id", "url", "status", "content_type")
+    saved = Workspace(t.spark, "saved-pages")
+    saved.written(t.page, "pages")
+    return T.read_pages(t.spark, f"{saved.path}/pages").select("page_id", "url", "status", "content_type")
 
 
 @query("J1_normalize_url", f"SELECT src, id, n_host AS host, n_url AS url FROM ({O.identity(ALL_URLS, 'raw')})")
@@ -89,8 +92,12 @@ def _(t):
 
 # ---------------------------------------------------------------- verdicts
 def pages(t):
+    return probe_view(t.page)
+
+
+def probe_view(snapshots):
     """Snapshots with the redirect hosts and TLS flag a probe sees."""
-    return t.page.withColumns({
+    return snapshots.withColumns({
         "redirect_hosts": F.array_compact(F.array("redirect_host")), "final_url": F.col("url"), "has_ssl": F.col("url").startswith("https://"),
         "html": F.when(F.col("status").isNotNull(), F.col("html"))})
 
@@ -170,14 +177,28 @@ def _(t):
 
 
 # ---------------------------------------------------------- page selection
-@query("E8_contact_link_rank", """SELECT page_id, href, score FROM (
-  SELECT page_id, origin || '/contact' AS href, 10 - 2 * 0 - 2 AS score FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+', 0) AS origin FROM fx_page WHERE page_id % 4 = 1)
-  UNION ALL SELECT page_id, origin || '/about/team.html', 3 FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+', 0) AS origin FROM fx_page WHERE page_id % 4 = 1)
-  UNION ALL SELECT page_id, origin || '/company/a/b', 3 FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+', 0) AS origin FROM fx_page WHERE page_id % 4 = 1))""")
-def _(t):
-    # the pages' own navigation links are random words; only links to the known contact paths are compared
-    ranked = E.contact_link_rank(t.page, 1000)
-    return ranked.filter(F.col("href").rlike("/contact$|/about/team.html$|/company/a/b$") & (F.col("page_id") % 4 == 1)).select("page_id", "href", F.col("score").cast("bigint").alias("score"))
+def _links_sql() -> str:
+    """All contact links of all pages, parsed by other expressions than the job's."""
+    words, anchor = "(?i)" + dims.CONTACT_WORDS, r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
+    base = O.url_parts("fx_page", "url")
+    absolute = """CASE WHEN raw = '' THEN NULL WHEN regexp_matches(raw, '(?i)^https?://') THEN raw WHEN starts_with(raw, '//') THEN b_scheme || ':' || raw
+      WHEN starts_with(raw, '/') THEN origin || raw WHEN starts_with(raw, '?') THEN origin || b_path || raw WHEN starts_with(raw, '#') THEN origin || b_path || b_query
+      WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE origin || regexp_replace(b_path, '[^/]*$', '') || raw END"""
+    rows = f"""(SELECT *, {absolute} AS abs FROM (SELECT page_id, u_scheme AS b_scheme, u_host AS b_host, u_port AS b_port, u_path AS b_path, u_query AS b_query,
+      u_scheme || '://' || u_host || u_port AS origin, {O.entities("unnest(regexp_extract_all(html, '" + anchor + "', 1))")} AS raw,
+      trim(regexp_replace({O.entities("regexp_replace(unnest(regexp_extract_all(html, '" + anchor + "', 2)), '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g')) AS text FROM ({base})))"""
+    kept = "list_filter(params, lambda p: NOT regexp_matches(p, '^utm_|^(fbclid|gclid)(=|$)'))"
+    query = f"CASE WHEN len({kept}) = len(params) THEN u_query WHEN len({kept}) = 0 THEN '' ELSE '?' || array_to_string({kept}, '&') END"
+    return f"""SELECT page_id, href, max(score)::BIGINT AS score FROM (SELECT page_id, u_scheme || '://' || u_host || u_port || u_path || {query} AS href,
+      CASE WHEN by_path THEN 3 ELSE 0 END + CASE WHEN by_text THEN 2 ELSE 0 END + greatest(0, 2 - len(list_filter(string_split(u_path, '/'), lambda s: s <> ''))) + CASE WHEN regexp_matches(u_path, '(?i)^/?contact') THEN 2 ELSE 0 END AS score
+      FROM (SELECT *, regexp_matches(u_path, '{words}') AS by_path, coalesce(regexp_matches(text, '{words}'), false) AS by_text, list_filter(string_split(regexp_replace(u_query, '^\\?', ''), '&'), lambda p: p <> '') AS params
+        FROM ({O.url_parts(rows, 'abs')}))
+      WHERE u_scheme = b_scheme AND u_host = b_host AND u_port = b_port AND NOT regexp_matches(u_path, '(?i){dims.NOT_A_PAGE}') AND (by_path OR by_text)) GROUP BY page_id, href"""
+
+
+@query("E8_contact_link_rank", _links_sql())
+def _(t):
+    return E.contact_link_rank(t.page, 1_000_000).select("page_id", "href", F.col("score").cast("bigint").alias("score"))
 
 
 def _site(t):

@@ -9,7 +9,7 @@ from ..functions import urls as U
 from ..operators import poi
 from ..operators.ordered import first_per_key
 
-PAGE_SCHEMA = "url string, html string, status int, content_type string, fetched_at timestamp"
+PAGE_SCHEMA = "page_id bigint, url string, html string, status int, content_type string, fetched_at timestamp"
 ACTIVITY_SCHEMA = "id bigint, kind string, business_id bigint, at timestamp, day date, meta string"
 
 

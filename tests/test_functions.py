@@ -1,5 +1,7 @@
 """Column functions on single cases."""
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -20,31 +22,36 @@ def test_urls_lose_tracking_and_fragments(spark):
     assert (r.n_url, r.n_host, r.n_dedupe_key) == ("https://www.example.com/", "example.com", "example.com")
 
 
-def test_registrable_domains_and_free_hosts(spark):
-    urls = {
-        "https://shop.example.co.uk/a": "example.co.uk", "https://www.example.com.br": "example.com.br", "https://a.b.example.com": "example.com",
-        "https://joes-plumbing.wixsite.com/home": "joes-plumbing.wixsite.com", "https://acme.wordpress.com": "acme.wordpress.com",
-        "https://joesplumbing.com": "joesplumbing.com",
-    }
-    assert [r.n_dedupe_key for r in identity(spark, list(urls))] == list(urls.values())
+def test_every_suffix_of_the_tables(spark):
+    free = {f"https://{who}.{suffix}/page/{i}": f"{who}.{suffix}" for i, suffix in enumerate(dims.FREE_HOST_SUFFIXES) for who in ("north", "south-2")}
+    two = {f"http://deep.www.brewer{i}.{suffix}/?q={i}": f"brewer{i}.{suffix}" for i, suffix in enumerate(dims.TWO_LABEL_SUFFIXES)}
+    own = {"https://shop.ferry-lane.dev": "ferry-lane.dev", "https://ferry-lane.dev:8443/a/b": "ferry-lane.dev"}
+    want = {**free, **two, **own}
+    assert [r.n_dedupe_key for r in identity(spark, list(want))] == list(want.values())
 
 
-def test_social_identity(spark):
-    cases = {
-        "https://www.facebook.com/JoesPlumbing": ("facebook", "joesplumbing"), "https://instagram.com/joes.plumbing/?igshid=abc": ("instagram", "joes.plumbing"),
-        "https://tiktok.com/@joesplumbing": ("tiktok", "joesplumbing"), "https://x.com/joesplumbing": ("twitter", "joesplumbing"),
-        "https://youtube.com/@joesplumbing": ("youtube", "@joesplumbing"), "https://youtube.com/channel/UC123": ("youtube", "channel/uc123"),
-        "https://linkedin.com/company/acme-plumbing": ("linkedin", "company/acme-plumbing"), "https://wa.me/441234567890": ("whatsapp", "441234567890"),
-        "https://instagram.com/p/123": ("instagram", None), "https://en-gb.facebook.com/pages/x": ("facebook", None),
-    }
-    assert [(r.n_platform, r.n_handle) for r in identity(spark, list(cases))] == list(cases.values())
+def test_every_social_host(spark):
+    # a path of one word is an account wherever accounts have one word; elsewhere a kind goes before the name
+    path = {"linkedin": "school/Mill-Lane", "youtube": "user/MillLane", "whatsapp": "0031-20", "telegram": "Mill_Lane"}
+    handle = {"linkedin": "school/mill-lane", "youtube": "user/milllane", "whatsapp": "003120", "telegram": "mill_lane"}
+    hosts = [(h, p) for h, p in dims.SOCIAL_HOSTS.items() if p in {"facebook", "instagram", "threads", "tiktok", "twitter", *path}]
+    rows = identity(spark, [f"https://de.{h}/{path.get(p, 'MillLane')}" for h, p in hosts] + [f"http://{h}/" for h, _ in hosts])
+    assert [(r.n_platform, r.n_handle) for r in rows[: len(hosts)]] == [(p, handle.get(p, "milllane")) for _, p in hosts]
+    assert [(r.n_platform, r.n_handle) for r in rows[len(hosts) :]] == [(p, None) for _, p in hosts]
+    assert all(r.n_is_social and not r.n_is_hub for r in rows)
 
 
-def test_share_widgets_and_hubs(spark):
-    rows = identity(spark, ["https://twitter.com/intent/tweet?url=x", "https://facebook.com/sharer/sharer.php?u=x", "https://facebook.com/plugins/like.php",
-                            "https://www.facebook.com/JoesPlumbing", "https://linktr.ee/joesplumbing"])
-    assert [r.n_share for r in rows] == [True, True, True, False, False]
-    assert (rows[4].n_is_hub, rows[4].n_is_social) == (True, False)
+def test_hubs_are_no_profiles_and_posts_no_accounts(spark):
+    hubs = identity(spark, [f"https://{h}/mill.lane" for h in dims.LINK_HUB_HOSTS])
+    assert all(r.n_is_hub and not r.n_is_social and r.n_platform is None for r in hubs)
+    posts = identity(spark, ["https://www.instagram.com/reels/C9/", "https://facebook.com/groups/77", "https://x.com/hashtag/bread", "https://linkedin.com/jobs/1", "https://youtube.com/shorts"])
+    assert [r.n_handle for r in posts] == [None] * len(posts)
+
+
+def test_share_widgets(spark):
+    said = ["https://www.facebook.com/dialog/share?app_id=1", "https://x.com/share?text=a", "https://www.linkedin.com/sharing/share-offsite/?u=b", "https://pinterest.com/pin/create/button/"]
+    assert [r.n_share for r in identity(spark, said)] == [bool(re.search("|".join(dims.SHARE_PATHS), u.split("/", 3)[3] and "/" + u.split("/", 3)[3])) for u in said]
+    assert [r.n_share for r in identity(spark, ["https://ferry-lane.dev/share", "https://x.com/MillLane"])] == [False, False]
 
 
 def test_unusable_urls(spark):
@@ -64,10 +71,10 @@ def test_cache_key_is_shared_by_variants(spark):
 
 
 def test_names(values):
-    names = ["Café Rémy Ltd.", "CAFE REMY LIMITED", "Joe's Plumbing & Heating LLC", "Coconut Grove", "As You Like It"]
-    want = ["cafe remy", "cafe remy", "joe s plumbing heating", "coconut grove", "you like it"]
-    assert values(lambda c: U.normalize_name(F.col(c)), names) == want
-    assert values(lambda c: U.normalize_name(F.col(c), nfkd=True), names) == want
+    names = [f"Zürcher {word.upper()} Ölmühle, no. {i}" for i, word in enumerate(dims.LEGAL_WORDS)] + ["  ", "Çağlar & Söhne", "GMBHaus", "łódź—ÅRHUS"]
+    want = [f"zurcher olmuhle no {i}" for i in range(len(dims.LEGAL_WORDS))] + ["", "caglar sohne", "gmbhaus"]
+    assert values(lambda c: U.normalize_name(F.col(c)), names)[: len(want)] == want
+    assert values(lambda c: U.normalize_name(F.col(c), nfkd=True), names)[: len(want)] == want
 
 
 def test_days_do_not_drift(spark):
@@ -144,24 +151,43 @@ def decide(spark, text, path):
     return R.robots_decision(urls, R.robots_rules(files), TOKEN).first()
 
 
-def test_robots(spark):
-    allowed = lambda text, path: decide(spark, text, path).allowed
-    assert allowed("", "/") and allowed("# just a comment", "/contact") and allowed("User-agent: *\nDisallow:", "/x")
-    assert not allowed("User-agent: *\nDisallow: /", "/") and not allowed("User-agent: *\r\nDisallow: /", "/contact")
-    specific = "\nUser-agent: *\nDisallow: /\n\nUser-agent: ShopfrontBot\nDisallow: /private\n"
-    assert allowed(specific, "/") and not allowed(specific, "/private/x")
-    longest = "User-agent: *\nDisallow: /shop\nAllow: /shop/public"
-    assert not allowed(longest, "/shop/private") and allowed(longest, "/shop/public/thing") and allowed("User-agent: *\nDisallow: /x\nAllow: /x", "/x")
-    pdf = "User-agent: *\nDisallow: /*.pdf$"
-    assert not allowed(pdf, "/docs/a.pdf") and allowed(pdf, "/docs/a.pdf?x=1") and not allowed("User-agent: *\nDisallow: /tmp/*/cache", "/tmp/a/cache")
-    assert decide(spark, "User-agent: *\nCrawl-delay: 2.5\nDisallow: /a", "/b").delay_ms == 2500
-    groups = "User-agent: *\nDisallow: /a\n\nUser-agent: someoneelse\nDisallow: /b\n\nUser-agent: *\nDisallow: /c\n"
-    assert not allowed(groups, "/a") and not allowed(groups, "/c") and allowed(groups, "/b")
+def plain_decision(groups, path):
+    """(agents, [(allow, pattern)], delay) groups in order: the longest named group that fits, else *; its longest fitting rule, allow before disallow."""
+    fits = [(0 if a == "*" else len(a)) for agents, _, _ in groups for a in agents if a == "*" or a.lower() in TOKEN or TOKEN in a.lower()]
+    best = max(fits, default=None)
+    chosen = [g for g in groups if any((0 if a == "*" else len(a)) == best and (a == "*" or a.lower() in TOKEN or TOKEN in a.lower()) for a in g[0])]
+    hits = []
+    for _, rules, _ in chosen:
+        for allow, pattern in rules:
+            body, end = (pattern[:-1], "$") if pattern.endswith("$") else (pattern, "")
+            if pattern and re.match(".*".join(map(re.escape, body.split("*"))) + end, path or "/", re.S):
+                hits.append((len(re.sub("[*$]", "", pattern)), allow))
+    return max(hits)[1] if hits else True
+
+
+def test_robots_like_a_plain_reader(spark):
+    rng = random.Random(12)
+    parts = ["/", "/menu", "/menu/lunch", "/*.html", "/*.html$", "/a*z", "/menu*", "", "/$"]
+    paths = ["", "/", "/menu", "/menu/lunch/1", "/x.html", "/x.html?p", "/abcz", "/menu.html", "/other"]
+    files, urls, want = [], [], {}
+    for i in range(60):
+        groups = [(rng.sample(["*", "frontbot", "shopfrontbot", "elsebot", "SHOP"], rng.choice([1, 1, 2])), [(rng.random() < 0.5, rng.choice(parts)) for _ in range(rng.randrange(4))], None) for _ in range(rng.randrange(4))]
+        # a group without rules runs into the next, so each has one at least
+        groups = [(a, r or [(False, "")], d) for a, r, d in groups]
+        lines = [line for a, r, _ in groups for line in [*(f"{rng.choice(['User-agent', 'user-AGENT'])}: {x}  # who" for x in a), *(f"{'Allow' if y else 'Disallow'}:{p}" for y, p in r), ""]]
+        files.append((f"d{i}", rng.choice(["\n", "\r\n"]).join(lines)))
+        for k, path in enumerate(paths):
+            urls.append((100 * i + k, f"d{i}", path))
+            want[100 * i + k] = plain_decision(groups, path)
+    rules = R.robots_rules(spark.createDataFrame(files, "domain string, body string"))
+    got = R.robots_decision(spark.createDataFrame(urls, "id int, domain string, path string"), rules, TOKEN)
+    assert {r.id: r.allowed for r in got.collect()} == want
+    assert decide(spark, "User-agent: *\nCrawl-delay: 0.75\nDisallow: /q", "/r").delay_ms == 750
 
 
 def test_sitemaps(spark, values):
-    files = spark.createDataFrame([("d", "Sitemap: https://example.com/sitemap.xml\nUser-agent: *\nDisallow: /a")], "domain string, body string")
-    assert [r.value for r in R.robots_rules(files).filter("kind = 'sitemap'").collect()] == ["https://example.com/sitemap.xml"]
+    files = spark.createDataFrame([("d", "user-agent: *\nAllow: /\nSITEMAP:   https://maps.test/index-2.xml # all")], "domain string, body string")
+    assert [r.value for r in R.robots_rules(files).filter("kind = 'sitemap'").collect()] == ["https://maps.test/index-2.xml"]
     xml = "<urlset><url><loc>https://a.test/contact</loc></url>\n<url><loc>https://a.test/about?a=1&amp;b=2</loc></url></urlset>"
     assert values(lambda c: R.sitemap_urls(F.col(c)), [xml]) == [["https://a.test/contact", "https://a.test/about?a=1&b=2"]]
 
