@@ -11,6 +11,7 @@ from ..functions import site as T
 from ..functions import urls as U
 from .arrays import keep, unnest, unnest_with_position
 from .ordered import first_per_key, left_join_known, top_per_key
+from .spread import spread
 
 HTML_TYPES = "(?i)text/html|application/xhtml"
 
@@ -136,7 +137,7 @@ def email_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     One pass over the pages builds a short array of finds; only those are shuffled.
     """
-    return emails_of(page_parts(pages).select(key, email_finds().alias("email_finds")), key)
+    return emails_of(page_parts(spread(pages)).select(key, email_finds().alias("email_finds")), key)
 
 
 CHAT_LINK = r"(?i)(?:wa\.me|api\.whatsapp\.com/send\?phone=)/?(\+?\d{6,})"
@@ -163,7 +164,7 @@ def phones_of(finds: DataFrame, key: str) -> DataFrame:
 
 def phone_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(page, raw, e164, is_mobile, is_whatsapp, source, confidence, reject_reason); pages may carry country_code."""
-    return phones_of(page_parts(pages).select(key, country_hint(pages), phone_finds().alias("phone_finds")), key)
+    return phones_of(page_parts(spread(pages)).select(key, country_hint(pages), phone_finds().alias("phone_finds")), key)
 
 
 def country_hint(pages: DataFrame) -> Column:
@@ -193,7 +194,7 @@ def socials_of(finds: DataFrame, key: str) -> DataFrame:
 
 def social_extract_job(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(page, platform, url, handle) of the profiles a page links to, declares or mentions."""
-    return socials_of(page_parts(pages).select(key, social_finds().alias("social_finds")), key)
+    return socials_of(page_parts(spread(pages)).select(key, social_finds().alias("social_finds")), key)
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -205,7 +206,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     readable = F.coalesce(F.col("html"), F.lit("")) != ""
     if "content_type" in pages.columns:
         readable = readable & (F.col("content_type").isNull() | F.col("content_type").rlike(HTML_TYPES))
-    df = page_parts(page_facts(pages))
+    df = page_parts(page_facts(spread(pages)))
     only = lambda finds: F.when(readable, finds)
     return df.select(
         key, "url_key", "url", "host", *FACTS, country_hint(pages), only(email_finds()).alias("email_finds"),

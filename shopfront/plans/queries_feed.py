@@ -9,6 +9,7 @@ from ..operators import duplicates as D
 from ..operators import edits as E
 from ..operators import leads as L
 from ..sources import tables as T
+from ..operators.workspace import Workspace
 from . import oracle_tables as O
 from .fixtures import NOW
 from .registry import query
@@ -209,7 +210,6 @@ _words = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <
   ELSE len(list_filter(begins, lambda w: len(list_filter(words, lambda x: starts_with(x, w))) = 0)) = 0 END""")
 def _(t):
     from ..operators.lead_index import LeadIndex
-    from ..operators.workspace import Workspace
 
     return LeadIndex(t.spark, Workspace(t.spark, "lead-index").path).build(t.business).search(t.search)
 
@@ -232,7 +232,8 @@ SQL_ORDER = {
 @query("F1_feed_sort", " UNION ALL ".join(f"SELECT * FROM (SELECT '{s}' AS sort, id, score, name FROM or_lead)"
                                           for s, o in SQL_ORDER.items()))
 def _(t):
-    out, leads = None, t.leads()
+    # scored once, then read in each order
+    out, leads = None, Workspace(t.spark, "scored-leads").written(t.leads(), "leads")
     for sort in SQL_ORDER:
         df = L.feed_sort(leads, sort).select(F.lit(sort).alias("sort"), "id", "score", "name")
         out = df if out is None else out.unionByName(df)
