@@ -2,12 +2,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .leads import denorm, scored
-from .ordered import insert_new, previous
+from .ordered import previous
 from .workspace import Workspace
 
 
@@ -40,10 +41,13 @@ def merge_leads(leads: DataFrame, phones: DataFrame, emails: DataFrame, socials:
     moves = final_targets(pairs).select(F.col("drop_id").alias("business_id"), "keep_id")
 
     def children(df: DataFrame, key: list[str]) -> DataFrame:
-        stay = df.join(moves, "business_id", "left_anti")
-        moved = df.join(moves, "business_id").drop("business_id").withColumnRenamed("keep_id", "business_id").select(*df.columns)
+        """One pass: each row under the lead it goes to; a moved row stays if it is the first of its key there and no own row has that key."""
         order = [F.col("id")] if "id" in df.columns else [F.col(c) for c in df.columns if c not in key]
-        return insert_new(stay, moved, ["business_id", *key], order)
+        rows = df.join(moves, "business_id", "left").withColumns({"_moved": F.col("keep_id").isNotNull(), "business_id": F.coalesce("keep_id", "business_id")})
+        of_key = Window.partitionBy("business_id", *key)
+        given = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key))
+        rows = rows.withColumns({"_own": F.max(~F.col("_moved")).over(of_key) & given, "_nth": F.row_number().over(Window.partitionBy("business_id", *key, "_moved").orderBy(*order))})
+        return rows.filter(~F.col("_moved") | (~F.col("_own") & (F.col("_nth") == 1))).select(*df.columns)
 
     def repoint(df: DataFrame) -> DataFrame:
         return df.join(moves, "business_id", "left").withColumn("business_id", F.coalesce("keep_id", "business_id")).select(*df.columns)
