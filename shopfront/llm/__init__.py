@@ -1 +1 @@
-"""Operators that prepare text for training: ten methods, their queries and the corpus pipeline's parts."""
+"""Operators that prepare text for training: thirteen methods, their queries and the corpus pipeline's parts."""
