@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, lean, text_slices
+from .common import crc_of_id, lean, released, text_slices
 from .words import mix, powers
 
 #: Labelled documents that training reads at most, of each class; a fixed sample by hash. This bounds the broadcasts and what the driver gathers.
@@ -146,27 +146,45 @@ def blocks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
         yield run
 
 
-def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all texts, and where each begins."""
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    parts = [codes(*flat(run)) for run in blocks(texts)]
-    starts = np.concatenate([[0], np.cumsum([len(c) for c, _ in parts])]).astype(np.int64)
-    return np.concatenate([c for c, _ in parts]), np.concatenate([*(b[:-1] + s for (_, b), s in zip(parts, starts)), starts[-1:]])
+def each_codes(texts: list[str]) -> Iterator[np.ndarray]:
+    """The codes of one text after the other; in memory are those of a run of texts."""
+    for run in blocks(texts):
+        code, begins = codes(*flat(run))
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+            yield code[a:b]
 
 
 def stretches(texts: list[str], wanted: np.ndarray, size: int) -> bytes:
     """Dictionary content: the wanted codes where they first stand in the texts, so that those of one word stay together."""
-    code, _ = coded(texts)
-    first = np.sort(np.unique(code, return_index=True)[1])
-    return as_bytes(code[first[np.isin(code[first], wanted)]])[: size // CODE_BYTES * CODE_BYTES]
+    out, left, most = [], np.unique(wanted), size // CODE_BYTES
+    for code in each_codes(texts):
+        first = np.sort(np.unique(code, return_index=True)[1])
+        found = code[first]
+        found = found[np.isin(found, left)]
+        if len(found):
+            out.append(found)
+            left = np.setdiff1d(left, found, assume_unique=True)
+        if sum(map(len, out)) >= most or not len(left):
+            break
+    return as_bytes(np.concatenate(out))[:size // CODE_BYTES * CODE_BYTES] if out else b""
 
 
 def document_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The codes and in how many of the texts each is."""
-    code, begins = coded(texts)
-    each = [np.unique(code[a:b]) for a, b in zip(begins[:-1], begins[1:])]
-    return np.unique(np.concatenate(each), return_counts=True)
+    known, counts, fresh, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def added():
+        code, slot = np.unique(np.concatenate([known, *fresh]), return_inverse=True)
+        weight = np.concatenate([counts, np.ones(len(slot) - len(known), np.int64)])
+        return code, np.bincount(slot, weight, len(code)).astype(np.int64)
+
+    for code in each_codes(texts):
+        fresh.append(np.unique(code))
+        held += len(fresh[-1])
+        if held >= 1 << 20:
+            known, counts = added()
+            fresh, held = [], 0
+    return added()
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
@@ -188,10 +206,9 @@ def unlike(texts: list[str]) -> list[str]:
     """The texts without those that share half of their least pairs of codes with one before them."""
     holders: dict[int, list[int]] = {}
     out = []
-    code, begins = coded(texts)
-    for text, a, b in zip(texts, begins[:-1], begins[1:]):
+    for text, code in zip(texts, each_codes(texts)):
         # codes in pairs a little apart, which unlike documents hardly share
-        least = np.unique(mix(code[a : max(a, b - 7)] * np.uint64(0x9E3779B97F4A7C15) + code[min(b, a + 7) : b]))[:ALIKE].tolist()
+        least = np.unique(mix(code[: max(0, len(code) - 7)] * np.uint64(0x9E3779B97F4A7C15) + code[7:]))[:ALIKE].tolist()
         shared = Counter(i for c in least for i in holders.get(c, ()))
         if not shared or 2 * max(shared.values()) < len(least):
             for c in least:
@@ -252,7 +269,9 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] = SAMPLE) -> Model:
-    return fit(sampled(docs, labels, id_col, text_col, label_col, sample))
+    model = fit(sampled(docs, labels, id_col, text_col, label_col, sample))
+    released()
+    return model
 
 
 def scored_batches(model, text_col: str):
