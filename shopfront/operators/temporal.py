@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import keep, unnest
 from .ordered import _same, bucketed
 
 #: Levels of time cells; a cell of the top level is 2 ** LEVELS base cells.
@@ -82,23 +83,27 @@ def count_during(intervals: DataFrame, events: DataFrame, keys: list[str], ident
 
 
 def time_cells(first: Column, last: Column) -> Column:
-    """The fewest cells (level, cell) that cover the base cells first..last: at most two of each level."""
+    """The fewest cells (level, cell) that cover the base cells first..last: at most two of each level.
+
+    Of the cells of a level that lie inside, the first goes if it is the right half of its parent and the last if it is a left half; the others are
+    inside a cell of the next level. Levels above the interval's length are not looked at. `first` and `last` are written out in every level's
+    terms, so they should be columns that are there, not computed ones.
+    """
+    begin, end = first.cast("bigint"), last.cast("bigint") + 1
+    shift = lambda c, level: F.call_function("shiftright", c, level)
+    odd = lambda c: c.bitwiseAND(1) == 1
     cell = lambda level, at: F.struct(level.alias("level"), at.alias("cell"))
     none = F.array().cast("array<struct<level:int,cell:bigint>>")
-    state = F.struct(first.cast("bigint").alias("l"), (last + 1).cast("bigint").alias("r"), none.alias("out"))
 
-    def climb(s, level):
-        top, odd = level == LEVELS, lambda c: c.bitwiseAND(1) == 1
-        low, high = s["l"], s["r"]
-        take_low = (low < high) & odd(low) & ~top
-        low_after = F.when(take_low, low + 1).otherwise(low)
-        take_high = (low_after < high) & odd(high) & ~top
-        high_after = F.when(take_high, high - 1).otherwise(high)
-        rest = F.when(top & (low < high), F.transform(F.sequence(low, high - 1), lambda c: cell(level, c))).otherwise(none)
-        out = F.concat(s["out"], F.when(take_low, F.array(cell(level, low))).otherwise(none), F.when(take_high, F.array(cell(level, high_after))).otherwise(none), rest)
-        return F.struct(F.shiftright(low_after, 1).alias("l"), F.shiftright(high_after, 1).alias("r"), out.alias("out"))
+    def of_level(level):
+        low, high = -shift(-begin, level), shift(end, level)  # the whole cells inside: from low up to, not with, high
+        at_begin, at_end = (low < high) & odd(low), (low < high) & odd(high) & ((low + 1 < high) | ~odd(low))
+        ends = F.concat(F.when(at_begin, F.array(cell(level, low))).otherwise(none), F.when(at_end, F.array(cell(level, high - 1))).otherwise(none))
+        rest = F.when(low < high, F.transform(F.sequence(low, F.greatest(low, high - 1)), lambda c: cell(level, c))).otherwise(none)
+        return F.when(level < LEVELS, ends).otherwise(rest)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), state, climb, lambda s: s["out"])
+    highest = F.least(F.lit(LEVELS), F.length(F.bin(F.greatest(end - begin, F.lit(0).cast("bigint"))))).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), highest), of_level))
 
 
 def during(intervals: DataFrame, events: DataFrame, keys: list[str], start: str, end: str, at: str, cell_seconds: int = 3600) -> DataFrame:
@@ -106,6 +111,9 @@ def during(intervals: DataFrame, events: DataFrame, keys: list[str], start: str,
 
     An interval is cut to a few cells of doubling length, an event is in one cell of each level, and each pair meets in just one cell:
     an equi join, however long an interval is. A NULL end is open; NULL starts, times and keys meet nothing.
+
+    Both sides are dealt by the hash of key and cell: Spark takes the rows of an explode for as few as those before it, and would
+    send all cells of all events through the driver to every executor.
     """
     base = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (cell_seconds * 1_000_000)).cast("bigint")
     last = events.agg(F.max(at).alias("_last")).first()[0]  # one value
@@ -113,11 +121,14 @@ def during(intervals: DataFrame, events: DataFrame, keys: list[str], start: str,
         return intervals.join(events.drop(*keys).limit(0), F.lit(True), "inner").limit(0)
     horizon = F.lit(last).cast("timestamp") + F.expr("INTERVAL 1 SECOND")
     until = F.least(F.coalesce(F.col(end), horizon), horizon)
-    cut = intervals.withColumn("_until", until).filter((F.col(start) < F.col("_until"))).withColumn(
-        "_cells", time_cells(base(F.col(start)), base(F.col("_until"))))
-    cut = cut.withColumn("_c", F.explode("_cells")).withColumns({"_level": F.col("_c.level"), "_cell": F.col("_c.cell")}).drop("_c", "_cells")
-    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.named_struct(F.lit("level"), k, F.lit("cell"), F.call_function("shiftright", base(F.col(at)), k)))
+    open_ = intervals.withColumn("_until", until).filter((F.col(start) < F.col("_until")))
+    # through an array of one entry, so that the cells work on columns that are there
+    cut = keep(open_, F.lit(True), [*open_.columns, base(F.col(start)).alias("_first"), base(F.col("_until")).alias("_last")])
+    cut = unnest(cut, [*open_.columns], time_cells(F.col("_first"), F.col("_last")), "_c")
+    cut = cut.withColumns({"_level": F.col("_c.level"), "_cell": F.col("_c.cell")}).drop("_c")
+    # an event is only placed on levels that some interval uses: at most LEVELS + 1 numbers
+    used = [r[0] for r in cut.select("_level").distinct().orderBy("_level").collect()]
+    levels = F.transform(F.array(*(F.lit(n) for n in used or [0])), lambda k: F.named_struct(F.lit("level"), k, F.lit("cell"), F.call_function("shiftright", base(F.col(at)), k)))
     placed = events.filter(F.col(at).isNotNull()).withColumn("_c", F.explode(levels)).withColumns({"_level": F.col("_c.level"), "_cell": F.col("_c.cell")}).drop("_c")
-    # only levels and cells that some interval uses
-    met = cut.join(placed, [*keys, "_level", "_cell"]).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col("_until")))
+    met = cut.hint("merge").join(placed.hint("merge"), [*keys, "_level", "_cell"]).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col("_until")))
     return met.drop("_level", "_cell", "_until")

@@ -157,6 +157,18 @@ def test_events_in_intervals_like_all_pairs(spark):
     assert temporal.during(sdf, edf.filter("false"), ["key"], "a", "b", "at").count() == 0
 
 
+def test_cells_of_events_are_not_broadcast(spark):
+    # few rows before they are placed in cells: by their size Spark would send them to every executor
+    events = spark.range(50).select(F.col("id").alias("event"), F.lit(1).alias("key"), F.timestamp_seconds(F.col("id") * 3600).alias("at"))
+    spans = spark.range(20).select(F.col("id").alias("task"), F.lit(1).alias("key"), F.timestamp_seconds(F.col("id") * 3600).alias("a"),
+                                   F.timestamp_seconds((F.col("id") + 5) * 3600).alias("b"))
+    met = temporal.during(spans, events, ["key"], "a", "b", "at")
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.task, r.event) for r in met.collect()) == [(t, e) for t in range(20) for e in range(t, t + 5)]
+    nothing = temporal.during(spans.withColumn("b", F.col("a")), events, ["key"], "a", "b", "at")
+    assert nothing.count() == 0 and nothing.columns == met.columns
+
+
 def test_cells_cover_an_interval_once(spark):
     rng = random.Random(2)
     rows = [(a, a + rng.choice([0, 1, 5, 1000, 10**6])) for a in [rng.randrange(-(10**6), 10**6) for _ in range(80)]] + [(0, 2**25)]
