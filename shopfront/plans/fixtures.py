@@ -455,14 +455,26 @@ def duck(sql: str) -> str:
     return (f"WITH {', '.join(parts)} " if parts else "") + sql
 
 
+#: Fixtures whose rows are parsed at length, while those of the tables behind them are a few bytes: such a table is dealt out by its rows.
+DEALT = ["fx_poi_cols", "fx_poi_doc", "fx_poi_doc_2", "fx_fetch"]
+ROWS_PER_TASK = 25_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a fixture built from the given tables, as a DataFrame."""
     if name in GIVEN:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(_spark_text(sf_dir, name))
+    return spark.sql(_spark_text(spark, sf_dir, name, name in DEALT))
 
 
-def _spark_text(sf_dir: str, name: str) -> str:
+def _spark_text(spark: SparkSession, sf_dir: str, name: str, dealt: bool) -> str:
     names = set(re.findall(r"(?<!\{)\{([a-z_0-9]+)\}(?!\})", FIXTURES[name]))
-    values = {n: f"parquet.`{sf_dir}/{n}.parquet`" if n in GIVEN else f"({_spark_text(sf_dir, n)})" for n in names}
+    given = _dealt_text if dealt else lambda _, path: f"parquet.`{path}`"
+    values = {n: given(spark, f"{sf_dir}/{n}.parquet") if n in GIVEN else f"({_spark_text(spark, sf_dir, n, dealt)})" for n in names}
     return FIXTURES[name].format(**values)
+
+
+def _dealt_text(spark: SparkSession, path: str) -> str:
+    """A given table over all cores, and over more tasks as it grows: half a million of its rows may be one split of a file. The count reads footers only."""
+    tasks = max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(path).count() // ROWS_PER_TASK))
+    return f"(SELECT /*+ REPARTITION({tasks}) */ * FROM parquet.`{path}`)"

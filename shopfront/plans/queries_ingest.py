@@ -181,7 +181,8 @@ def _(t):
   WHERE (osm_key, coalesce(e164, raw)) NOT IN (SELECT (osm_key, raw) FROM or_poi_phone WHERE e164 IS NULL)
   QUALIFY row_number() OVER (PARTITION BY osm_key, coalesce(e164, raw) ORDER BY ord) = 1)""")
 def _(t):
-    incoming = P.poi_phones(normalized(t))
+    # parsed once: the inserts read the rows seven times, and test columns that are computed at length
+    incoming = Workspace(t.spark, "phone-insert").written(P.poi_phones(normalized(t)), "phones")
     # the unresolved ones are known already
     first = P.insert_phones(incoming.filter("e164 IS NULL"), incoming)
     again = P.insert_phones(first, incoming)

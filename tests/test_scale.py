@@ -15,7 +15,9 @@ from shopfront.operators import ordered as O
 from shopfront.operators.lead_index import LeadIndex
 from shopfront.operators.leads import lead_search
 from shopfront.operators.snapshot import Snapshot
-from shopfront.plans.registry import Inputs, load
+from shopfront.plans import fixtures
+from shopfront.plans.registry import QUERIES, Inputs, load
+from shopfront.sources.tables import fresh_pages
 from shopfront.streaming import jobs as J
 
 load()
