@@ -21,6 +21,7 @@ from ..functions import urls as U
 from . import enrichment as E
 from . import leads as L
 from . import robots as R
+from .arrays import keep
 from .ordered import first_per_key, insert_new, left_join_known
 from .workspace import Workspace
 
@@ -44,7 +45,8 @@ def site_pages(pages: DataFrame) -> DataFrame:
     only = lambda finds: F.when(readable, finds)
     narrow = df.select("url_key", "page_id", "url", *E.FACTS, "hops", "fetched_at", only(E.email_finds()).alias("email_finds"),
                        only(E.phone_finds()).alias("phone_finds"), only(E.social_finds()).alias("social_finds"), only(contact_anchors()).alias("anchors"))
-    return first_per_key(narrow.filter("url_key IS NOT NULL"), ["url_key"], [-F.unix_micros(F.col("fetched_at").cast("timestamp")), -F.col("page_id")])
+    keyed = keep(narrow, F.col("url_key").isNotNull(), [F.col(c) for c in narrow.columns])
+    return first_per_key(keyed, ["url_key"], [-F.unix_micros(F.col("fetched_at").cast("timestamp")), -F.col("page_id")])
 
 
 def allowed_urls(candidates: DataFrame, robots: DataFrame | None, token: str) -> DataFrame:

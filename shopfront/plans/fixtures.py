@@ -340,8 +340,9 @@ SELECT p.page_id, CASE WHEN page_id <> first_page AND page_id = last_page AND fi
     || coalesce(mid_url, '/none') || '">About</a><a href="https://elsewhere.example.com/contact">Contact</a></footer>') ELSE html END AS html,
   CAST(CASE WHEN page_id % 3 = 0 THEN 200 ELSE status END AS INTEGER) AS status, CASE WHEN page_id % 3 <> 0 THEN error_kind END AS error_kind,
   CASE WHEN page_id % 3 <> 0 THEN redirect_host END AS redirect_host, hops, robots_blocked, server, content_type, fetched_at
-FROM {fx_page} p JOIN {fx_origin} o ON regexp_extract(p.url, '^https?://[^/?#]+', 0) = o.origin
-  JOIN (SELECT page_id AS l, url AS last_url FROM {pages}) x ON x.l = o.last_page LEFT JOIN (SELECT page_id AS m, url AS mid_url FROM {pages}) y ON y.m = o.mid_page"""
+FROM {fx_page} p JOIN (SELECT origin, first_page, last_page, mid_page, last_url, mid_url FROM {fx_origin} o
+  JOIN (SELECT page_id AS l, url AS last_url FROM {pages}) x ON x.l = o.last_page LEFT JOIN (SELECT page_id AS m, url AS mid_url FROM {pages}) y ON y.m = o.mid_page) s
+  ON regexp_extract(p.url, '^https?://[^/?#]+', 0) = s.origin"""
 FIXTURES["fx_site"] = f"""
 SELECT first_page AS id, origin AS name, CASE WHEN first_page % 11 <> 5 THEN url END AS website_url,
   {pick('first_page % 3', ['gb', None, 'de'])} AS country_code
