@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import urls as U
 from ..operators import poi
+from ..operators.arrays import keep
 from ..operators.ordered import first_per_key
 
 PAGE_SCHEMA = "page_id bigint, url string, html string, status int, content_type string, fetched_at timestamp"
@@ -42,7 +43,8 @@ def fresh_pages(fetches: DataFrame, now: str, error_ttl: int = 3600) -> DataFram
     An error entry lives at most an hour. Only key and times are compared before the choice.
     """
     fetched = F.col("fetched_at").cast("timestamp")
-    keyed = U.cache_key(fetches, "url", "url_key").filter("url_key IS NOT NULL")
+    keyed = U.cache_key(fetches, "url", "url_key")
+    keyed = keep(keyed, F.col("url_key").isNotNull(), [F.col(c) for c in keyed.columns])
     ok = F.coalesce(F.col("status").between(200, 399), F.lit(False))
     ttl = F.when(ok, F.col("ttl_seconds")).otherwise(F.least(F.col("ttl_seconds"), F.lit(error_ttl)))
     keyed = keyed.withColumns({"fetch_ok": ok, "expires_at": F.timestamp_seconds(F.unix_seconds(fetched) + ttl)})

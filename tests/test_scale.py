@@ -296,3 +296,36 @@ def test_rescoring_replaces_leads_in_place(spark, tmp_path):
     assert files_of(tmp_path / "scores") <= 4  # one file a folder, however many batches
     J.replace_keys(target, target.read([0, 1, 2, 3]).limit(5))
     assert {r.id: r.score for r in target.read().collect()} == got
+
+
+# ------------------------------------------------------------------ rows that take long to parse
+@pytest.mark.parametrize("name", ["poi_doc", "poi_doc_2", "fetch"])
+def test_short_rows_with_much_work_are_dealt_to_all_cores(spark, name):
+    assert getattr(Inputs(spark, SF), name).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_more_rows_are_more_tasks(spark, tmp_path):
+    spark.range(3).selectExpr("id AS c_custkey", "'n' AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    least = spark.sparkContext.defaultParallelism
+    assert f"REPARTITION({least})" in fixtures._dealt_text(spark, str(tmp_path / "customer.parquet"))
+    spark.range(fixtures.ROWS_PER_TASK * (least + 2) + 1).write.parquet(str(tmp_path / "more.parquet"))
+    assert f"REPARTITION({least + 3})" in fixtures._dealt_text(spark, str(tmp_path / "more.parquet"))
+
+
+def test_phones_are_parsed_once(spark):
+    plan = QUERIES["H2_phone_insert"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan.lower() and "parquet" in plan
+
+
+def test_cache_keys_are_not_computed_in_a_filter(spark):
+    plan = fresh_pages(Inputs(spark, SF).fetch, "2024-01-30 12:00:00")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if line.strip(" :+-").startswith("Filter") and "regexp_extract" in line]
+
+
+def test_page_bodies_of_sites_are_joined_once(spark):
+    plan = Inputs(spark, SF).site_page._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # the join that meets the bodies is the outermost one: nothing above it but projections
+    depth = [line.index("Join") for line in plan if line.strip(" :+-").startswith("Join")]
+    sides = [i for i, line in enumerate(plan) if line.strip(" :+-").startswith("Join")]
+    bodies = next(i for i, line in enumerate(plan) if "Relation" in line and "html" in line)
+    assert sum(i < bodies for i in sides) == 1 and len(depth) == 3
