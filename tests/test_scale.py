@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shopfront.operators import cubes, folds, near_counts, temporal
+from shopfront.operators import cubes, folds, lead_index, near_counts, temporal
 from shopfront.operators import duplicates as D
 from shopfront.operators import ordered as O
 from shopfront.operators.lead_index import LeadIndex
@@ -209,6 +209,24 @@ def test_ten_thousand_queries_like_the_scan(spark, tmp_path):
     assert {i: sorted(got[i]) for i in range(10_000)} == {i: want[texts[i % len(texts)]] for i in range(10_000)}
 
 
+def test_a_search_that_many_ask_and_most_leads_answer_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lead_index, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(lead_index, "ROWS_PER_TASK", 5_000, raising=False)
+    leads = [(None if i == 9 else i // 2 if i < 6 else i, f"Salon {i % 7}", None) for i in range(300)]  # ids that repeat, and none
+    asked = [(None if i == 5 else i, ["%", "", "sal", "7 salon", "salon 3", "3 Sálon", None][i % 7]) for i in range(420)]
+    index = LeadIndex(spark, str(tmp_path)).build(spark.createDataFrame(leads, "id bigint, name string, address_line string").coalesce(1))
+    found = index.search(spark.createDataFrame(asked, "query_id bigint, q string").coalesce(1))
+    shares = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(shares) * 4 < sum(shares)
+    want = Counter()
+    for key, text in asked:
+        if text in ("%", ""):
+            want.update((key, r[0]) for r in leads)
+        elif key is not None and text is not None and text != "7 salon":  # words find no lead without an id
+            want.update((key, r[0]) for r in leads if r[0] is not None and (text == "sal" or r[1] == "Salon 3"))
+    assert Counter((r.query_id, r.id) for r in found.collect()) == want
+
+
 # ------------------------------------------------------------------ streams
 def stream_of(spark, folder, batches, schema):
     """One file, and so one micro-batch, after the other."""
