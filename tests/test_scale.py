@@ -227,6 +227,30 @@ def test_a_search_that_many_ask_and_most_leads_answer_is_dealt_over_tasks(spark,
     assert Counter((r.query_id, r.id) for r in found.collect()) == want
 
 
+def test_a_pair_of_full_blocks_is_unpacked_a_slice_at_a_time(spark):
+    ids = spark.range(lead_index.BLOCK)
+    one = lead_index.paired(ids.select(F.col("id").alias("query_id"), F.lit("%").alias("search")), ids.select(F.lit("%").alias("search"), "id")).limit(1)
+    assert len(one.collect()) == 1
+    plans, made = [one._jdf.queryExecution().executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "Generate":
+            made.append(plan.metrics().apply("numOutputRows").value())
+        inner = {"AdaptiveSparkPlan": "executedPlan", "ResultQueryStage": "plan"}.get(plan.nodeName())
+        plans += [getattr(plan, inner)()] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    # one row was taken, and what was unpacked for it does not grow with the product of two blocks
+    assert made and 1 <= max(made) <= 16 * lead_index.BLOCK
+
+
+def test_pairs_of_part_filled_blocks_and_slices_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(lead_index, "BLOCK", 10)
+    asked = [(q, s) for s, n in (("a", 1), ("b", 23), ("c", 10), ("nobody", 2)) for q in [None, 7, *range(100, 98 + n)][:n]]
+    leads = [(s, i) for s, n in (("a", 19), ("b", 8), ("c", 41), ("unasked", 3)) for i in [None, 5, 5, *range(n - 3)]]
+    wanted, found = spark.createDataFrame(asked, "query_id bigint, search string"), spark.createDataFrame(leads, "search string, id bigint")
+    got = Counter((r.query_id, r.id) for r in lead_index.paired(wanted, found).collect())
+    assert got == Counter((q, i) for q, s in asked for t, i in leads if s == t)
+
+
 # ------------------------------------------------------------------ streams
 def stream_of(spark, folder, batches, schema):
     """One file, and so one micro-batch, after the other."""
